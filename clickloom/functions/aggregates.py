@@ -62,11 +62,8 @@ def round_cents(x: Column) -> Column:
     high = scaled - (scaled - x)
     low = x - high
     down = F.floor(x * 100).cast("double")
-    past_half = (high * 100 - (down + 0.5)) + low * 100
-    even_up = F.pmod(down, F.lit(2.0)) == 1.0
-    cents = (
-        F.when(past_half > 0, down + 1)
-        .when((past_half == 0) & even_up, down + 1)
-        .otherwise(down)
-    )
-    return cents / F.lit(100.0)
+    past_half = (high * 100 - down - 0.5) + low * 100
+    odd = F.pmod(down, F.lit(2.0)) == 1.0
+    cents = F.when((past_half > 0) | ((past_half == 0) & odd), down + 1).otherwise(down)
+    # From 2**46 on doubles are further apart than cents.
+    return F.when(F.abs(x) < 2.0**46, cents / F.lit(100.0)).otherwise(x)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.times import as_of_column, is_zoneless, window_start
-from clickloom.vocabulary import LIVE_MINUTES
+from clickloom.functions.times import as_of_column, is_zoneless, live_start, window_start
 
 
 def in_window(
@@ -30,8 +29,8 @@ def in_window(
 
 
 def in_live_window(events: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:
-    now = as_of_column(as_of, is_zoneless(events))
-    return events.where(F.col("timestamp") >= now - F.lit(timedelta(minutes=LIVE_MINUTES)))
+    """Rows of the last minutes before ``as_of``, and any stamped later."""
+    return events.where(F.col("timestamp") >= live_start(as_of, is_zoneless(events)))
 
 
 def equal_to(events: DataFrame, **wanted: str | None) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.vocabulary import BUCKETS, WINDOWS, one_of
+from clickloom.vocabulary import BUCKETS, LIVE_MINUTES, WINDOWS, one_of
+
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -17,6 +19,16 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def utc_wall_clock(events: DataFrame) -> DataFrame:
+    """The same events with ``timestamp`` as TIMESTAMP_NTZ in UTC."""
+    if is_zoneless(events):
+        return events
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"the session time zone must be UTC, not {zone}; see use_utc")
+    return events.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 def is_zoneless(events: DataFrame) -> bool:
     return isinstance(events.schema["timestamp"].dataType, T.TimestampNTZType)
 
@@ -42,6 +54,10 @@ def window_start(window: str, as_of: Column | datetime | None = None, zoneless:
     return as_of_column(as_of, zoneless) - F.expr(f"INTERVAL '{hours}' HOUR")
 
 
+def live_start(as_of: Column | datetime | None = None, zoneless: bool = False) -> Column:
+    return as_of_column(as_of, zoneless) - F.expr(f"INTERVAL '{LIVE_MINUTES}' MINUTE")
+
+
 def bucket_start(bucket: str, events: DataFrame) -> Column:
     """Start of the minute, hour or day of ``timestamp``, in the column's own type."""
     one_of("bucket", bucket, BUCKETS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from clickloom.functions.aggregates import purchase_revenue, stage_counts
@@ -14,6 +14,10 @@ from clickloom.vocabulary import EVENT_COLUMNS, JOURNEY_LIMIT, LOG_LIMIT, in_ran
 
 AsOf = Column | datetime | None
 
+# Pages ending within this many rows are read off one sorted top list.
+SHALLOW_ROWS = 10_000
+LEAD_CHARACTERS = 4
+
 
 def event_total(events: DataFrame) -> DataFrame:
     """Row count of the whole table."""
@@ -62,7 +66,7 @@ def user_events(
     bounded: bool = False,
 ) -> DataFrame:
     """A user's first ``limit`` events of the window, oldest first."""
-    in_range("limit", limit, 1)
+    in_range("limit", limit, *LOG_LIMIT)
     return (
         in_window(events, window, as_of, bounded)
         .where(F.col("user_id") == F.lit(user_id))
@@ -90,11 +94,55 @@ def list_events(
     kept = equal_to(
         in_window(events, window, as_of, bounded),
         event_type=event_type, category=category, user_id=user_id,
+    ).select(*EVENT_COLUMNS)
+    if offset + limit <= SHALLOW_ROWS:
+        page = kept.orderBy(F.desc("timestamp"), "event_id").offset(offset).limit(limit)
+    else:
+        page = deep_page(kept, limit, offset)
+    return page.withColumn("timestamp", iso_text(F.col("timestamp")))
+
+
+def _overlapping(groups: DataFrame, order: WindowSpec, limit: int, offset: int) -> DataFrame:
+    """Groups holding rows of the page, from row counts ``n``.
+
+    ``before`` is the number of rows in front of a group. It is added to the
+    ``before`` the groups already carry for the range they lie in.
+    """
+    ahead = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = groups.withColumn("before", F.col("before") + F.coalesce(ahead, F.lit(0)))
+    return placed.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).drop("n")
+
+
+def deep_page(kept: DataFrame, limit: int, offset: int) -> DataFrame:
+    """Page ``offset`` rows into the log, without sorting the rows in front of it.
+
+    Row counts say where the page lies: first counts per second, of which a
+    window has a bounded number, then, in the few seconds the page touches,
+    counts per leading characters of event_id, so that one crowded second is
+    not sorted in one task either. Only rows of the groups left after that are
+    numbered. At most ``limit`` groups can hold rows of the page, which bounds
+    what is broadcast.
+    """
+    seconds = _overlapping(
+        kept.groupBy("timestamp").agg(F.count("*").alias("n")).withColumn("before", F.lit(0).cast("bigint")),
+        Window.orderBy(F.desc("timestamp")), limit, offset,
+    )
+    span = seconds.agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high"))
+    near = kept.where(
+        F.col("timestamp").between(span.select("low").scalar(), span.select("high").scalar())
+    ).withColumn("lead", F.substring("event_id", 1, LEAD_CHARACTERS))
+    leads = _overlapping(
+        near.join(F.broadcast(seconds), "timestamp")
+        .groupBy("timestamp", "lead")
+        .agg(F.count("*").alias("n"), F.first("before").alias("before")),
+        Window.partitionBy("timestamp").orderBy("lead"), limit, offset,
+    )
+    numbered = near.join(F.broadcast(leads), ["timestamp", "lead"]).withColumn(
+        "position",
+        F.col("before") + F.row_number().over(Window.partitionBy("timestamp", "lead").orderBy("event_id")),
     )
     return (
-        kept.select(*EVENT_COLUMNS)
-        .orderBy(F.desc("timestamp"), "event_id")
-        .offset(offset)
-        .limit(limit)
-        .withColumn("timestamp", iso_text(F.col("timestamp")))
+        numbered.where((F.col("position") > offset) & (F.col("position") <= offset + limit))
+        .orderBy("position")
+        .select(*EVENT_COLUMNS)
     )

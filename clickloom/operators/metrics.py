@@ -53,11 +53,23 @@ def overview(events: DataFrame, window: str = "24h", as_of: AsOf = None, bounded
     })
 
 
-def _stage_totals(events: DataFrame, stages: Sequence[str]) -> DataFrame:
-    """One row with the stage counts as the array ``n``, in stage order."""
+def _stage_rows(events: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """One row per stage with its count, the one before it, the first and the last."""
     if not stages or len(set(stages)) != len(stages):
         raise ValueError(f"stages must be distinct and not empty, not {list(stages)}")
-    return events.agg(F.array(*[count_of(stage) for stage in stages]).alias("n"))
+    totals = events.agg(F.array(*[count_of(stage) for stage in stages]).alias("n"))
+    n = F.col("n")
+    rows = [
+        F.struct(
+            F.lit(stage).alias("stage"),
+            n[i].alias("count"),
+            (n[i - 1] if i else F.lit(None).cast("bigint")).alias("previous"),
+            n[0].alias("first"),
+            n[len(stages) - 1].alias("last"),
+        )
+        for i, stage in enumerate(stages)
+    ]
+    return totals.select(F.inline(F.array(*rows)))
 
 
 def funnel(
@@ -75,22 +87,17 @@ def funnel(
     followed per user, so it can exceed 100. ``overall_cvr_pct`` compares the
     last stage with the first and repeats on each row.
     """
-    totals = _stage_totals(equal_to(in_window(events, window, as_of, bounded), category=category), stages)
-
-    def share(of: int, among: int) -> Column:
-        return round_cents(percent(F.col("n")[of], F.col("n")[among]))
-
-    overall = share(len(stages) - 1, 0)
-    rows = [
-        F.struct(
-            F.lit(stage).alias("stage"),
-            F.col("n")[i].alias("count"),
-            (F.lit(None).cast("double") if i == 0 else share(i, i - 1)).alias("drop_off_pct"),
-            overall.alias("overall_cvr_pct"),
-        )
-        for i, stage in enumerate(stages)
-    ]
-    return totals.select(F.inline(F.array(*rows)))
+    rows = _stage_rows(equal_to(in_window(events, window, as_of, bounded), category=category), stages)
+    rates = rows.withColumns({
+        "step": percent(F.col("count"), F.col("previous")),
+        "overall": percent(F.col("last"), F.col("first")),
+    })
+    return rates.select(
+        "stage",
+        "count",
+        F.when(F.col("previous").isNotNull(), round_cents(F.col("step"))).alias("drop_off_pct"),
+        round_cents(F.col("overall")).alias("overall_cvr_pct"),
+    )
 
 
 def funnel_share(
@@ -102,17 +109,9 @@ def funnel_share(
     bounded: bool = False,
 ) -> DataFrame:
     """Stage counts as a percentage of the first stage; an empty first stage counts as 1."""
-    totals = _stage_totals(equal_to(in_window(events, window, as_of, bounded), category=category), stages)
-    first = F.greatest(F.col("n")[0], F.lit(1))
-    rows = [
-        F.struct(
-            F.lit(stage).alias("stage"),
-            F.col("n")[i].alias("count"),
-            (F.lit(100.0) * F.col("n")[i] / first).alias("share_pct"),
-        )
-        for i, stage in enumerate(stages)
-    ]
-    return totals.select(F.inline(F.array(*rows)))
+    rows = _stage_rows(equal_to(in_window(events, window, as_of, bounded), category=category), stages)
+    share = F.lit(100.0) * F.col("count") / F.greatest("first", F.lit(1))
+    return rows.select("stage", "count", share.alias("share_pct"))
 
 
 def timeseries(
@@ -209,10 +208,11 @@ def revenue_totals(events: DataFrame, window: str = "24h", as_of: AsOf = None, b
     totals = equal_to(in_window(events, window, as_of, bounded), event_type=PURCHASE).agg(
         F.count("*").alias("total_orders"), money_sum(F.col("price")).alias("total")
     )
-    return totals.select(
+    means = totals.withColumn("mean", ratio(F.col("total"), F.col("total_orders")))
+    return means.select(
         round_cents(F.col("total")).alias("total_revenue"),
         "total_orders",
-        round_cents(ratio(F.col("total"), F.col("total_orders"))).alias("overall_aov"),
+        round_cents(F.col("mean")).alias("overall_aov"),
     )
 
 
@@ -232,9 +232,8 @@ def realtime(events: DataFrame, as_of: AsOf = None) -> DataFrame:
 def events_per_sec(events: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Events per second in the latest live minute; 0.0 when there is none."""
     latest = _live_minutes(events, as_of).agg(F.max_by("total", "bucket").alias("total"))
-    return latest.select(
-        F.coalesce(round_cents(F.col("total") / F.lit(60.0)), F.lit(0.0)).alias("events_per_sec")
-    )
+    rate = latest.select((F.coalesce("total", F.lit(0)) / F.lit(60.0)).alias("rate"))
+    return rate.select(round_cents(F.col("rate")).alias("events_per_sec"))
 
 
 def last_minute_total(events: DataFrame, as_of: AsOf = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.aggregates import money_sum
 from clickloom.functions.predicates import in_window
-from clickloom.functions.times import as_of_column, iso_text, window_start
+from clickloom.functions.times import iso_text, live_start, window_start
 from clickloom.operators import log, metrics, shaping
 from clickloom.sources.fixtures import fixture_events, fixture_stream, latest_second
 from clickloom.sources.messages import decode, encode, normalize, split_malformed
@@ -22,7 +22,7 @@ from clickloom.sources.scratch import fresh_folder
 from clickloom.sources.streams import read_message_files
 from clickloom.sources.table import batch_counts, read_events, write_events
 from clickloom.streaming import live
-from clickloom.streaming.pipeline import start_ingest, start_table_sink
+from clickloom.streaming.pipeline import start_ingest
 from clickloom.vocabulary import WINDOWS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,13 +30,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 FIXTURE_STAGES = ("view", "click", "signup", "purchase")
 
 
-def _windowed(operator: Callable[..., DataFrame], window: str, with_category: bool = False, **arguments) -> Query:
-    """``operator`` over the fixture events, at the time of the newest event."""
+def _windowed(
+    operator: Callable[..., DataFrame], window: str, with_category: bool = False, raw_user: int | None = None, **arguments
+) -> Query:
+    """``operator`` over the fixture events, at the time of the newest event.
+
+    ``raw_user`` is the fixture's number of the one user asked for.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_of = latest_second(spark, sf_dir)
-        since = window_start(window, as_of, zoneless=True)
-        events = fixture_events(spark, sf_dir, since, with_category)
+        reachable = F.col("ts") >= window_start(window, as_of, zoneless=True)
+        if raw_user is not None:
+            reachable = reachable & (F.col("user_id") == raw_user)
+        events = fixture_events(spark, sf_dir, reachable, with_category)
         return operator(events, window=window, as_of=as_of, **arguments)
 
     return run
@@ -45,9 +52,8 @@ def _windowed(operator: Callable[..., DataFrame], window: str, with_category: bo
 def _live(operator: Callable[..., DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_of = latest_second(spark, sf_dir)
-        # The shortest named window holds the live one.
-        since = window_start("1h", as_of, zoneless=True)
-        return operator(fixture_events(spark, sf_dir, since, with_category=False), as_of=as_of)
+        reachable = F.col("ts") >= live_start(as_of, zoneless=True)
+        return operator(fixture_events(spark, sf_dir, reachable, with_category=False), as_of=as_of)
 
     return run
 
@@ -62,8 +68,8 @@ def _window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all windows, from one pass over the longest."""
     as_of = latest_second(spark, sf_dir)
     longest = max(WINDOWS, key=WINDOWS.get)
-    since = window_start(longest, as_of, zoneless=True)
-    events = in_window(fixture_events(spark, sf_dir, since, with_category=False), longest, as_of)
+    reachable = F.col("ts") >= window_start(longest, as_of, zoneless=True)
+    events = in_window(fixture_events(spark, sf_dir, reachable, with_category=False), longest, as_of)
     reached = F.array(*[
         F.when(F.col("timestamp") >= window_start(name, as_of, zoneless=True), F.lit(name)) for name in WINDOWS
     ])
@@ -138,10 +144,9 @@ def _malformed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "table")
-    events = fixture_events(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    write_events(events, path, ingest_id="roundtrip")
+    write_events(fixture_events(spark, sf_dir), path, ingest_id="roundtrip")
     as_of = latest_second(spark, sf_dir)
-    month = as_of_column(as_of.replace(day=1, hour=0, minute=0, second=0))
+    month = as_of.replace(day=1, hour=0, minute=0, second=0)
     return read_events(spark, path, since=month, until=as_of).agg(
         F.count("*").alias("event_count"),
         money_sum(F.col("price")).alias("price"),
@@ -212,9 +217,10 @@ def _dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = fixture_events(spark, sf_dir, whole_seconds=False)
     copies = F.explode(F.sequence(F.lit(0), F.length("event_type") % 3)).alias("copy")
     encode(events.select("*", copies)).write.text(f"{folder}/in")
-    valid, _ = split_malformed(decode(read_message_files(spark, f"{folder}/in")))
-    unique = normalize(live.suppress_duplicates(valid))
-    start_table_sink(unique, f"{folder}/table", f"{folder}/checkpoint", every=None).awaitTermination()
+    start_ingest(
+        read_message_files(spark, f"{folder}/in"), f"{folder}/table", f"{folder}/checkpoint",
+        every=None, unique_within="10 minutes",
+    ).awaitTermination()
     return _as_text(read_events(spark, f"{folder}/table"))
 
 
@@ -251,8 +257,8 @@ QUERIES: dict[str, Query] = {
     "top_products_views": _windowed(metrics.top_products, "30d", with_category=True, by="views"),
     "top_products_purchases": _windowed(metrics.top_products, "30d", with_category=True, by="purchases"),
     "top_categories_30d": _CATEGORIES,
-    "user_summary_u42": _windowed(log.user_summary, "7d", user_id="u_42"),
-    "user_events_u42": _windowed(log.user_events, "7d", with_category=True, user_id="u_42"),
+    "user_summary_u42": _windowed(log.user_summary, "7d", user_id="u_42", raw_user=42),
+    "user_events_u42": _windowed(log.user_events, "7d", with_category=True, user_id="u_42", raw_user=42),
     "user_summaries_30d": _windowed(log.user_summaries, "30d"),
     "revenue_hour_7d": _windowed(metrics.revenue, "7d", bucket="hour"),
     "revenue_day_30d": _windowed(metrics.revenue, "30d", bucket="day"),
@@ -261,7 +267,8 @@ QUERIES: dict[str, Query] = {
     "events_per_sec": _live(metrics.events_per_sec),
     "events_page": _PAGE,
     "events_filtered": _windowed(
-        log.list_events, "30d", with_category=True, limit=50, event_type="purchase", user_id="u_42", category=""
+        log.list_events, "30d", with_category=True, raw_user=42,
+        limit=50, event_type="purchase", user_id="u_42", category="",
     ),
     "event_total": _event_total,
     "timeseries_pivot": _windowed(metrics.timeseries_pivot, "7d", bucket="hour"),

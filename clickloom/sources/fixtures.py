@@ -33,7 +33,7 @@ def bind_columns(raw: DataFrame, categories: DataFrame | None, whole_seconds: bo
         # No broadcast hint: the planner broadcasts this side while its size
         # allows, and otherwise merge-joins, splitting hot keys at run time.
         dim = categories.select("p_partkey", F.lower("p_type").alias("p_type"))
-        bound = raw.join(dim, k.cast("bigint") == dim["p_partkey"], "left")
+        bound = raw.join(dim, k.try_cast("bigint") == dim["p_partkey"], "left")
         category = F.coalesce("p_type", F.lit(""))
     time = F.date_trunc("second", "ts").cast(raw.schema["ts"].dataType) if whole_seconds else F.col("ts")
     return bound.select(
@@ -51,18 +51,18 @@ def bind_columns(raw: DataFrame, categories: DataFrame | None, whole_seconds: bo
 def fixture_events(
     spark: SparkSession,
     sf_dir: str,
-    since: Column | None = None,
+    reachable: Column | None = None,
     with_category: bool = True,
     whole_seconds: bool = True,
 ) -> DataFrame:
-    """The events table. ``since`` is a lower bound the file scan may use.
+    """The events table. ``reachable`` is a condition on the raw columns for the scan to use.
 
-    A truncated time is never later than the raw one, so every row the
-    operators would keep passes ``ts >= since``.
+    It must hold for every row the caller's operator keeps. For a window that
+    is ``ts >= start``, as a truncated time is never later than the raw one.
     """
     raw = raw_events(spark, sf_dir)
-    if since is not None:
-        raw = raw.where(F.col("ts") >= since)
+    if reachable is not None:
+        raw = raw.where(reachable)
     categories = spark.read.parquet(f"{sf_dir}/part.parquet") if with_category else None
     return bind_columns(raw, categories, whole_seconds)
 

@@ -1,5 +1,9 @@
 """The stored event table: Parquet, partitioned by month, sorted by (timestamp, user_id).
 
+Times are stored as TIMESTAMP_NTZ holding UTC: by default Spark writes the
+zoned type as INT96, for which Parquet keeps no statistics, so that a time
+range could not skip a single row group.
+
 Below the month lie two more partition levels, ``ingest_id`` and ``batch_id``:
 who wrote the rows and in which batch. Writing a batch again replaces exactly
 the files it wrote before. Readers see the eight event columns only.
@@ -12,11 +16,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.functions.times import as_of_column, month_key, window_start
+from clickloom.functions.times import as_of_column, month_key, utc_wall_clock, window_start
 from clickloom.vocabulary import EVENT_COLUMNS, EVENT_DDL
 
 PARTITION_COLUMNS = ("event_month", "ingest_id", "batch_id")
-TABLE_DDL = f"{EVENT_DDL}, event_month INT, ingest_id STRING, batch_id BIGINT"
+TABLE_DDL = (
+    EVENT_DDL.replace("timestamp TIMESTAMP", "timestamp TIMESTAMP_NTZ")
+    + ", event_month INT, ingest_id STRING, batch_id BIGINT"
+)
 
 
 def create_events_table(spark: SparkSession, name: str, path: str) -> None:
@@ -35,7 +42,7 @@ def _laid_out(events: DataFrame, ingest_id: str, batch_id: int) -> DataFrame:
     partitions and splits large ones, so neither many small source partitions
     nor one crowded hour decides the file sizes.
     """
-    placed = events.select(
+    placed = utc_wall_clock(events).select(
         *EVENT_COLUMNS,
         month_key(F.col("timestamp")).alias("event_month"),
         F.lit(ingest_id).alias("ingest_id"),
@@ -59,7 +66,9 @@ def write_events(events: DataFrame, path: str, ingest_id: str, batch_id: int = 0
         _laid_out(events, ingest_id, batch_id)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        # Lets a lookup of one user skip the row groups that user is not in.
+        .option("compression", "zstd")
+        # Lets a lookup of one user skip the row groups that user is not in, also
+        # where the ids are too many for a dictionary.
         .option("parquet.bloom.filter.enabled#user_id", "true")
         .option("parquet.bloom.filter.adaptive.enabled", "true")
         .partitionBy(*PARTITION_COLUMNS)
@@ -85,17 +94,17 @@ def read_events(
     """
     rows = read_table(spark, path)
     if since is not None:
-        start = as_of_column(since)
+        start = as_of_column(since, zoneless=True)
         rows = rows.where((F.col("event_month") >= month_key(start)) & (F.col("timestamp") >= start))
     if until is not None:
-        end = as_of_column(until)
+        end = as_of_column(until, zoneless=True)
         rows = rows.where((F.col("event_month") <= month_key(end)) & (F.col("timestamp") <= end))
     return rows.select(*EVENT_COLUMNS)
 
 
 def read_window(spark: SparkSession, path: str, window: str, as_of: Column | datetime | None = None) -> DataFrame:
     """Events that the operators' ``window`` before ``as_of`` can reach."""
-    return read_events(spark, path, since=window_start(window, as_of))
+    return read_events(spark, path, since=window_start(window, as_of, zoneless=True))
 
 
 def batch_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -1,38 +1,15 @@
-"""Stateful streams: duplicate suppression, live minutes, running funnel."""
+"""Streams that keep running aggregates: live minutes and the running funnel."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.functions.aggregates import percent, stage_counts
+from clickloom.streaming.dedup import LATENESS
 from clickloom.streaming.pipeline import TRIGGER, with_trigger
 
-LATENESS = "10 minutes"
-
-
-def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("event_id").dictionary_encode().indices
-        _, first = np.unique(ids.to_numpy(zero_copy_only=False), return_index=True)
-        yield batch.take(pa.array(np.sort(first)))
-
-
-def suppress_duplicates(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """One row per event_id among rows at most ``lateness`` apart in event time.
-
-    Meant for the valid part of ``split_malformed``. Copies that arrive
-    together are dropped in the task that reads them, so an id delivered very
-    often does not travel to the one task that keeps its state.
-    """
-    thinned = events.mapInArrow(_first_copies, events.schema)
-    return thinned.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(["event_id"])
-
 
 def live_minutes(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Running stage counts per minute; a minute is closed once it is ``lateness`` old."""
@@ -57,7 +34,7 @@ def start_state_sink(
     """Keep what each micro-batch of an aggregating stream changed, replacing it if the batch runs again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.hint("rebalance").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = states.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     return with_trigger(writer, every).start()

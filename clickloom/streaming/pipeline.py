@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from clickloom.sources.messages import decode, normalize
+from clickloom.sources.messages import decode, normalize, split_malformed
 from clickloom.sources.table import write_events
+from clickloom.streaming.dedup import suppress_duplicates
 
 log = logging.getLogger(__name__)
 
@@ -65,6 +66,17 @@ def start_ingest(
     checkpoint: str,
     every: str | None = TRIGGER,
     on_batch: Callable[[int, int], None] | None = None,
+    unique_within: str | None = None,
 ) -> StreamingQuery:
-    """Decode, normalise and store a message stream; malformed messages are kept as default values."""
-    return start_table_sink(normalize(decode(messages)), path, checkpoint, every, on_batch)
+    """Decode, normalise and store a message stream.
+
+    Malformed messages are kept, as rows of default values. With
+    ``unique_within``, an interval such as "10 minutes", further copies of an
+    event are left out; see ``suppress_duplicates`` for what happens to rows
+    later than that. Malformed messages have no id to compare and all stay.
+    """
+    events = decode(messages)
+    if unique_within is not None:
+        valid, malformed = split_malformed(events)
+        events = suppress_duplicates(valid, unique_within).unionAll(malformed)
+    return start_table_sink(normalize(events), path, checkpoint, every, on_batch)

@@ -14,8 +14,9 @@ from clickloom.vocabulary import EVENT_COLUMNS, JOURNEY_LIMIT, LOG_LIMIT, in_ran
 
 AsOf = Column | datetime | None
 
-# Pages ending within this many rows are read off one sorted top list.
-SHALLOW_ROWS = 10_000
+# Pages ending within this many rows are read off one sorted top list, to which
+# every task sends as many rows.
+SHALLOW_ROWS = 2_000
 LEAD_CHARACTERS = 4
 
 

@@ -23,7 +23,7 @@ from clickloom.sources.streams import read_message_files
 from clickloom.sources.table import batch_counts, read_events, write_events
 from clickloom.streaming import live
 from clickloom.streaming.pipeline import start_ingest
-from clickloom.vocabulary import WINDOWS
+from clickloom.vocabulary import PURCHASE, WINDOWS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,14 +70,16 @@ def _window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     longest = max(WINDOWS, key=WINDOWS.get)
     reachable = F.col("ts") >= window_start(longest, as_of, zoneless=True)
     events = in_window(fixture_events(spark, sf_dir, reachable, with_category=False), longest, as_of)
-    reached = F.array(*[
-        F.when(F.col("timestamp") >= window_start(name, as_of, zoneless=True), F.lit(name)) for name in WINDOWS
-    ])
-    return (
-        events.select(F.explode(F.array_compact(reached)).alias("window"), "event_type", "price")
-        .groupBy("window")
-        .agg(F.count("*").alias("total_events"), metrics.purchase_revenue().alias("revenue"))
-    )
+    totals = []
+    for name in WINDOWS:
+        inside = F.col("timestamp") >= window_start(name, as_of, zoneless=True)
+        bought = inside & (F.col("event_type") == F.lit(PURCHASE))
+        totals.append(F.struct(
+            F.lit(name).alias("window"),
+            F.count_if(inside).alias("total_events"),
+            money_sum(F.when(bought, F.col("price"))).alias("revenue"),
+        ))
+    return events.agg(F.array(*totals).alias("totals")).select(F.inline("totals"))
 
 
 def _event_total(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 from clickloom.functions.times import use_utc
 
 
+RAW_EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+RAW_PARTS_DDL = "p_partkey BIGINT, p_type STRING"
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/events.parquet")
+    """The rows as they are. The schema is given, which saves the job that would infer it."""
+    return use_utc(spark).read.schema(RAW_EVENTS_DDL).parquet(f"{sf_dir}/events.parquet")
 
 
 def latest_second(spark: SparkSession, sf_dir: str) -> datetime:
     """The time of the newest event in whole seconds, the ``as_of`` of a replay."""
-    newest = raw_events(spark, sf_dir).agg(F.max("ts").alias("ts")).first()["ts"]
+    newest = raw_events(spark, sf_dir).agg(F.max("ts")).first()[0]
     return newest.replace(microsecond=0)
 
 
@@ -63,12 +68,13 @@ def fixture_events(
     raw = raw_events(spark, sf_dir)
     if reachable is not None:
         raw = raw.where(reachable)
-    categories = spark.read.parquet(f"{sf_dir}/part.parquet") if with_category else None
+    categories = None
+    if with_category:
+        categories = spark.read.schema(RAW_PARTS_DDL).parquet(f"{sf_dir}/part.parquet")
     return bind_columns(raw, categories, whole_seconds)
 
 
 def fixture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows as a stream, without categories, timed as TIMESTAMP so that they can be watermarked."""
-    schema = raw_events(spark, sf_dir).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    files = use_utc(spark).readStream.schema(RAW_EVENTS_DDL).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return bind_columns(files, None).withColumn("timestamp", F.col("timestamp").cast("timestamp"))

@@ -18,7 +18,9 @@ def decode(messages: DataFrame) -> DataFrame:
     and so is every field of a message that is not JSON.
     """
     event = F.from_json(F.col("value").cast("string"), EVENT_DDL)
-    return messages.select(event.alias("event")).select("event.*")
+    # Unnested with inline rather than "event.*": a filter on an event column
+    # would otherwise be pushed below and parse every message once more.
+    return messages.select(F.inline(F.array(event)))
 
 
 def normalize(events: DataFrame) -> DataFrame:

@@ -110,8 +110,8 @@ def funnel_share(
 ) -> DataFrame:
     """Stage counts as a percentage of the first stage; an empty first stage counts as 1."""
     rows = _stage_rows(equal_to(in_window(events, window, as_of, bounded), category=category), stages)
-    share = F.lit(100.0) * F.col("count") / F.greatest("first", F.lit(1))
-    return rows.select("stage", "count", share.alias("share_pct"))
+    share = F.col("count") / F.greatest("first", F.lit(1))
+    return rows.select("stage", "count", (share * 100).alias("share_pct"))
 
 
 def timeseries(

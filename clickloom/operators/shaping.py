@@ -15,7 +15,7 @@ from clickloom.vocabulary import PURCHASE, RANK_BY, one_of
 
 def _of_best(metric: str) -> Column:
     best = F.max(metric).over(Window.partitionBy())
-    return ratio(F.lit(100.0) * F.col(metric), best)
+    return ratio(F.col(metric), best) * 100
 
 
 def product_share(products: DataFrame, by: str = "revenue") -> DataFrame:

@@ -181,19 +181,19 @@ ORACLE: dict[str, str] = {
                count(*) FILTER (event_type = 'purchase') AS purchase
         FROM bound WHERE {_since('7 DAY')} GROUP BY 1""",
     "funnel_share": f"""{_stage_rows('30 DAY', _FIXTURE_TUPLE)}
-        SELECT stage, n AS "count", 100.0::DOUBLE * n / greatest(first_n, 1) AS share_pct
+        SELECT stage, n AS "count", n / greatest(first_n, 1) * 100 AS share_pct
         FROM chained""",
     "product_share": f"""{_sales('product_id, category')}, top AS (
         SELECT *, {_CVR} AS cvr_pct FROM sales
         ORDER BY revenue DESC, product_id, category LIMIT 8),
         best AS (SELECT max(revenue) AS revenue FROM top)
         SELECT top.*, CASE WHEN best.revenue > 0
-               THEN least(100.0::DOUBLE * top.revenue / best.revenue, 100.0)
+               THEN least(top.revenue / best.revenue * 100, 100.0)
                ELSE 0.0 END AS share_pct
         FROM top, best""",
     "category_share": f"""{_CATEGORIES}, best AS (SELECT max(revenue) AS revenue FROM categories)
         SELECT categories.*, CASE WHEN best.revenue > 0
-               THEN 100.0::DOUBLE * categories.revenue / best.revenue
+               THEN categories.revenue / best.revenue * 100
                ELSE 0.0 END AS share_pct
         FROM categories, best""",
     "category_profile": f"""{_CATEGORIES}
@@ -233,11 +233,11 @@ ORACLE: dict[str, str] = {
         SELECT CASE WHEN value < 50 THEN 0 ELSE 1 END::BIGINT AS batch_id, count(*) AS row_count
         FROM events GROUP BY 1""",
     "rate_capped_ingest": """
-        SELECT count(*) AS row_count, TRUE AS within_cap, TRUE AS several_batches FROM events""",
+        SELECT count(*) AS row_count, TRUE AS batches_as_capped, TRUE AS several_batches FROM events""",
     "dedup_stream": _WHOLE_TABLE,
     "live_minutes": f"""{_EVENTS}
         SELECT {_ISO.format("date_trunc('minute', ts)")} AS bucket, {_STAGES}, count(*) AS total
         FROM bound GROUP BY 1""",
     "running_funnel": f"""{_EVENTS}, totals AS (SELECT {_STAGES} FROM bound)
-        SELECT *, 100.0::DOUBLE * purchases / greatest(views, 1) AS cvr_pct FROM totals""",
+        SELECT *, purchases / greatest(views, 1) * 100 AS cvr_pct FROM totals""",
 }

@@ -17,21 +17,21 @@ from clickloom.vocabulary import WINDOWS
 
 
 class Reports:
-    """Reports over the event table at ``path``, as of a fixed moment or, by default, of each call."""
+    """Reports over the event table ``source``, a folder or a registered name, as of a fixed moment or, by default, of each call."""
 
-    def __init__(self, spark: SparkSession, path: str, as_of: datetime | None = None):
+    def __init__(self, spark: SparkSession, source: str, as_of: datetime | None = None):
         self._spark = spark
-        self._path = path
+        self._source = source
         self._as_of = as_of
 
     def _moment(self) -> datetime:
         return self._as_of or datetime.now(timezone.utc)
 
     def _window(self, window: str, as_of: datetime) -> DataFrame:
-        return read_window(self._spark, self._path, window, as_of)
+        return read_window(self._spark, self._source, window, as_of)
 
     def health(self) -> DataFrame:
-        return log.event_total(read_events(self._spark, self._path))
+        return log.event_total(read_events(self._spark, self._source))
 
     def events(self, window: str = "24h", **page) -> DataFrame:
         """A log page; takes the limit, offset and filters of ``list_events``."""

@@ -27,7 +27,11 @@ TABLE_DDL = (
 
 
 def create_events_table(spark: SparkSession, name: str, path: str) -> None:
-    """Register the table in the catalog unless it is there, and pick up its partitions."""
+    """Register the table in the catalog unless it is there, and pick up its partitions.
+
+    Reading a table of many batches by this name lets the catalog say which
+    months to list; reading it by its folder lists them all first.
+    """
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({TABLE_DDL}) USING parquet "
         f"PARTITIONED BY ({', '.join(PARTITION_COLUMNS)}) LOCATION '{path}'"
@@ -76,14 +80,17 @@ def write_events(events: DataFrame, path: str, ingest_id: str, batch_id: int = 0
     )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """All columns, with the partition columns. The schema is given, so no file is opened to infer it."""
-    return spark.read.schema(TABLE_DDL).parquet(path)
+def read_table(spark: SparkSession, source: str) -> DataFrame:
+    """All columns, with the partition columns, of a folder or a registered table.
+
+    A folder has a ``/`` in it. Its schema is given, so no file is opened to infer it.
+    """
+    return spark.read.schema(TABLE_DDL).parquet(source) if "/" in source else spark.table(source)
 
 
 def read_events(
     spark: SparkSession,
-    path: str,
+    source: str,
     since: Column | datetime | None = None,
     until: Column | datetime | None = None,
 ) -> DataFrame:
@@ -92,7 +99,7 @@ def read_events(
     The month predicate is derived from the range, because the planner does
     not know that the month follows from the timestamp.
     """
-    rows = read_table(spark, path)
+    rows = read_table(spark, source)
     if since is not None:
         start = as_of_column(since, zoneless=True)
         rows = rows.where((F.col("event_month") >= month_key(start)) & (F.col("timestamp") >= start))
@@ -102,11 +109,11 @@ def read_events(
     return rows.select(*EVENT_COLUMNS)
 
 
-def read_window(spark: SparkSession, path: str, window: str, as_of: Column | datetime | None = None) -> DataFrame:
+def read_window(spark: SparkSession, source: str, window: str, as_of: Column | datetime | None = None) -> DataFrame:
     """Events that the operators' ``window`` before ``as_of`` can reach."""
-    return read_events(spark, path, since=window_start(window, as_of, zoneless=True))
+    return read_events(spark, source, since=window_start(window, as_of, zoneless=True))
 
 
-def batch_counts(spark: SparkSession, path: str) -> DataFrame:
+def batch_counts(spark: SparkSession, source: str) -> DataFrame:
     """Stored rows per batch, from the partition columns and the files' row counts alone."""
-    return read_table(spark, path).groupBy("ingest_id", "batch_id").agg(F.count("*").alias("row_count"))
+    return read_table(spark, source).groupBy("ingest_id", "batch_id").agg(F.count("*").alias("row_count"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clickloom.functions.aggregates import percent, stage_counts
+from clickloom.functions.aggregates import stage_counts
 from clickloom.streaming.dedup import LATENESS
 from clickloom.streaming.pipeline import TRIGGER, with_trigger
 
@@ -25,7 +25,7 @@ def running_funnel(events: DataFrame) -> DataFrame:
     """Running stage counts over the whole stream, and purchases per view (no views count as one)."""
     counts = events.groupBy().agg(*stage_counts())
     views = F.greatest("views", F.lit(1))
-    return counts.withColumn("cvr_pct", percent(F.col("purchases"), views))
+    return counts.withColumn("cvr_pct", F.col("purchases") / views * 100)
 
 
 def start_state_sink(

@@ -177,7 +177,7 @@ def test_bad_ranking(shop, arguments):
 def test_categories_and_their_shapes(shop, nothing):
     categories = metrics.top_categories(shop, as_of=AS_OF)
     assert [(r.category, r.revenue, r.aov) for r in categories.collect()] == [("food", 20.5, 20.5), ("books", 10.0, 10.0)]
-    assert [r.share_pct for r in shaping.category_share(categories).collect()] == [100.0, 100.0 * 10.0 / 20.5]
+    assert [r.share_pct for r in shaping.category_share(categories).collect()] == [100.0, 10.0 / 20.5 * 100]
     assert shaping.category_profile(categories).columns == ["category", "views", "purchases", "cvr", "revenue", "aov"]
     assert metrics.top_categories(nothing, as_of=AS_OF).collect() == []
 

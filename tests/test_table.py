@@ -128,6 +128,39 @@ def test_create_is_idempotent_and_finds_the_partitions(spark, stored):
         spark, stored, datetime(2024, 4, 1), datetime(2024, 4, 30, 23, 59, 59)).count()
 
 
+def test_reading_by_name_prunes_in_the_catalog(spark, stored):
+    table.create_events_table(spark, "named_events", stored)
+    by_name = table.read_window(spark, "named_events", "7d", AS_OF)
+    by_folder = table.read_window(spark, stored, "7d", AS_OF)
+    assert sorted(by_name.collect()) == sorted(by_folder.collect())
+    assert "PartitionFilters: [isnotnull(event_month" in executed(by_name)
+
+
+def test_closed_months_can_be_folded_into_fewer_batches(spark):
+    path, folded = fresh_folder(spark, "many"), fresh_folder(spark, "folded")
+    events = months_of_events(spark, 1200)
+    for batch in range(6):
+        table.write_events(events.where(F.pmod(F.xxhash64("event_id"), F.lit(6)) == batch), path, "stream", batch)
+    table.write_events(table.read_events(spark, path), folded, "folded")
+    assert len(files(folded)) < len(files(path))
+    assert sorted(table.read_events(spark, folded).collect()) == sorted(events.collect())
+
+
+def test_a_crowded_hour_is_split_over_files(spark):
+    path = fresh_folder(spark, "crowded")
+    crowd = spark.range(0, 8000, 1, numPartitions=8).selectExpr(
+        "cast(id AS STRING) AS event_id", "'view' AS event_type", "'u_1' AS user_id", "'p_1' AS product_id",
+        "1.0D AS price", "timestamp_ntz'2024-05-01 12:00:00' AS timestamp", "'c' AS category", "uuid() AS ip_address",
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32KB")
+    try:
+        table.write_events(crowd, path, "load")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert table.read_events(spark, path).count() == 8000
+    assert len(files(path)) > 2
+
+
 def test_shared_folder_comes_from_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert shared_root(spark) == root

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.times import as_of_column, is_zoneless, live_start, window_start
+from clickloom.functions.times import as_of_column, is_zoneless, live_start, require_utc, window_start
 
 
 def in_window(
@@ -21,6 +21,7 @@ def in_window(
     The window has no upper end, so rows stamped later than ``as_of`` count;
     ``bounded=True`` leaves them out.
     """
+    require_utc(events.sparkSession)
     zoneless = is_zoneless(events)
     kept = events.where(F.col("timestamp") >= window_start(window, as_of, zoneless))
     if bounded:
@@ -30,6 +31,7 @@ def in_window(
 
 def in_live_window(events: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:
     """Rows of the last minutes before ``as_of``, and any stamped later."""
+    require_utc(events.sparkSession)
     return events.where(F.col("timestamp") >= live_start(as_of, is_zoneless(events)))
 
 

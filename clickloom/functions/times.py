@@ -19,13 +19,17 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def require_utc(spark: SparkSession) -> None:
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"the session time zone must be UTC, not {zone}; see use_utc")
+
+
 def utc_wall_clock(events: DataFrame) -> DataFrame:
     """The same events with ``timestamp`` as TIMESTAMP_NTZ in UTC."""
+    require_utc(events.sparkSession)
     if is_zoneless(events):
         return events
-    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
-    if zone not in UTC_NAMES:
-        raise ValueError(f"the session time zone must be UTC, not {zone}; see use_utc")
     return events.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 

@@ -1,8 +1,4 @@
-"""Derived views of already aggregated or limited results.
-
-The windows here are unpartitioned on purpose: their input is a top-k list, a
-page or one row per category, never the event table.
-"""
+"""Derived views of already aggregated or limited results."""
 
 from __future__ import annotations
 
@@ -13,20 +9,24 @@ from clickloom.functions.aggregates import ratio
 from clickloom.vocabulary import PURCHASE, RANK_BY, one_of
 
 
-def _of_best(metric: str) -> Column:
-    best = F.max(metric).over(Window.partitionBy())
-    return ratio(F.col(metric), best) * 100
-
-
 def product_share(products: DataFrame, by: str = "revenue") -> DataFrame:
-    """A ``top_products`` result with each metric as a percentage of the best row's."""
+    """A ``top_products`` result with the metric ``by`` as a percentage of the best row's.
+
+    The window has no partitions: its input is a top list, never the event table.
+    """
     one_of("by", by, RANK_BY)
-    return products.withColumn("share_pct", F.least(_of_best(by), F.lit(100.0)))
+    best = F.max(by).over(Window.partitionBy())
+    return products.withColumn("share_pct", F.least(ratio(F.col(by), best) * 100, F.lit(100.0)))
 
 
 def category_share(categories: DataFrame) -> DataFrame:
-    """A ``top_categories`` result with revenue as a percentage of the best category's."""
-    return categories.withColumn("share_pct", _of_best("revenue"))
+    """A ``top_categories`` result with revenue as a percentage of the best category's.
+
+    The best is a scalar subquery, which shares the aggregation's shuffle, so
+    that the number of categories need not be small.
+    """
+    best = categories.agg(F.max("revenue")).scalar()
+    return categories.withColumn("share_pct", ratio(F.col("revenue"), best) * 100)
 
 
 def category_profile(categories: DataFrame) -> DataFrame:

@@ -82,6 +82,16 @@ def test_unknown_window(shop, window):
         metrics.overview(shop, window)
 
 
+def test_other_session_zones_are_refused(shop, spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for call in (metrics.overview, metrics.realtime, log.list_events):
+            with pytest.raises(ValueError, match="UTC"):
+                call(shop)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_funnel_with_all_stages(shop):
     rows = [tuple(r) for r in metrics.funnel(shop, as_of=AS_OF).collect()]
     assert rows == [

@@ -46,6 +46,14 @@ def test_aggregates_combine_before_every_shuffle(spark, name):
             assert "HashAggregate" in below
 
 
+def test_category_share_aggregates_once(spark):
+    frame = QUERIES["category_share"](spark, SF_DIR)
+    frame.collect()
+    plan = plan_of(frame)
+    assert "Window" not in plan
+    assert "ReusedExchange" in plan
+
+
 def test_only_needed_columns_are_read(spark):
     plan = plan_of(QUERIES["timeseries_day_30d"](spark, SF_DIR))
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in plan

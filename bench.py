@@ -22,8 +22,8 @@ from clickloom.streaming.pipeline import start_ingest
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = 5
-STREAM_RUNS = 2
+RUNS = 3
+STREAM_RUNS = 1
 STREAMS = {
     "ingest_stream", "recovery_stream", "batch_counts", "rate_capped_ingest",
     "dedup_stream", "live_minutes", "running_funnel",

@@ -1,4 +1,9 @@
-"""Column expressions shared by the aggregating operators."""
+"""Column expressions shared by the operators.
+
+Written as SQL text where they only concern named columns: building a Column
+piece by piece costs a call into the JVM per piece, which adds up for short
+queries.
+"""
 
 from __future__ import annotations
 
@@ -7,49 +12,43 @@ from pyspark.sql import functions as F
 
 from clickloom.vocabulary import PURCHASE, STAGE_COLUMNS
 
-# Amounts below this are added up as whole cents. Larger, fractional-cent and
-# non-finite amounts are added as doubles.
-_CENTS_BELOW = 1e6
-
 
 def count_of(event_type: str) -> Column:
     return F.count_if(F.col("event_type") == F.lit(event_type))
 
 
 def stage_counts() -> list[Column]:
-    return [count_of(stage).alias(name) for name, stage in STAGE_COLUMNS.items()]
+    return [F.expr(f"count_if(event_type = '{stage}') AS {name}") for name, stage in STAGE_COLUMNS.items()]
 
 
-def money_sum(amount: Column) -> Column:
-    """Sum of a DOUBLE amount; 0.0 when there is nothing to add.
+def money_sum(amount: str) -> Column:
+    """Sum of a DOUBLE amount, given as a column name or SQL; 0.0 when there is nothing to add.
 
     A plain double sum depends on the order in which tasks finish. Here the
     cents are summed as BIGINT, and only what is left of each amount after
     taking its cents off is summed as double. That rest is exactly 0.0 for
-    every two-decimal amount, so money adds up exactly and in any order, while
-    any other number is still counted in full.
+    every two-decimal amount below a million, so money adds up exactly and in
+    any order, while any other number is still counted in full.
     """
-    cents = F.when(F.abs(amount) < _CENTS_BELOW, F.rint(amount * 100)).otherwise(F.lit(0.0))
-    exact = F.sum(cents.cast("bigint")) / F.lit(100.0)
-    rest = F.sum(amount - cents / F.lit(100.0))
-    return F.coalesce(exact + rest, F.lit(0.0))
+    cents = f"CASE WHEN abs({amount}) < 1e6D THEN rint(({amount}) * 100) ELSE 0D END"
+    return F.expr(f"coalesce(sum(CAST({cents} AS BIGINT)) / 100D + sum(({amount}) - {cents} / 100D), 0D)")
 
 
 def purchase_revenue() -> Column:
-    return money_sum(F.when(F.col("event_type") == F.lit(PURCHASE), F.col("price")))
+    return money_sum(f"CASE WHEN event_type = '{PURCHASE}' THEN price END")
 
 
-def ratio(part: Column, whole: Column) -> Column:
+def ratio(part: str, whole: str) -> Column:
     """part / whole, and 0.0 where whole is zero."""
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    return F.expr(f"CASE WHEN {whole} > 0 THEN {part} / {whole} ELSE 0D END")
 
 
-def percent(part: Column, whole: Column) -> Column:
-    return ratio(F.lit(100.0) * part, whole)
+def percent(part: str, whole: str) -> Column:
+    return ratio(f"100D * {part}", whole)
 
 
-def round_cents(x: Column) -> Column:
-    """Round a double to two places the way IEEE arithmetic means it.
+def round_cents(x: str) -> Column:
+    """Round a double column to two places the way IEEE arithmetic means it.
 
     A value exactly half way goes to the even cent. Whether it *is* half way is
     decided on the binary value, not on its shortest decimal text, which is
@@ -58,12 +57,13 @@ def round_cents(x: Column) -> Column:
     """
     # Split x into a high and a low half, so that each half times 100 is exact
     # and the sign of the distance to the half-way point is exact too.
-    scaled = x * F.lit(134217729.0)
-    high = scaled - (scaled - x)
-    low = x - high
-    down = F.floor(x * 100).cast("double")
-    past_half = (high * 100 - down - 0.5) + low * 100
-    odd = F.pmod(down, F.lit(2.0)) == 1.0
-    cents = F.when((past_half > 0) | ((past_half == 0) & odd), down + 1).otherwise(down)
+    high = f"({x} * 134217729D - ({x} * 134217729D - {x}))"
+    down = f"CAST(floor({x} * 100) AS DOUBLE)"
+    past_half = f"(({high} * 100 - {down} - 0.5D) + ({x} - {high}) * 100)"
     # From 2**46 on doubles are further apart than cents.
-    return F.when(F.abs(x) < 2.0**46, cents / F.lit(100.0)).otherwise(x)
+    return F.expr(
+        f"""CASE WHEN abs({x}) < {2**46}D THEN
+                CASE WHEN {past_half} > 0 OR ({past_half} = 0 AND pmod({down}, 2D) = 1)
+                     THEN {down} + 1 ELSE {down} END / 100D
+            ELSE {x} END"""
+    )

@@ -50,7 +50,7 @@ def as_of_column(as_of: Column | datetime | None, zoneless: bool = False) -> Col
     if as_of.tzinfo is not None:
         as_of = as_of.astimezone(timezone.utc).replace(tzinfo=None)
     text = as_of.isoformat(sep=" ")
-    return F.lit(text).cast("timestamp_ntz") if zoneless else F.lit(text + "+00:00").cast("timestamp")
+    return F.expr(f"TIMESTAMP_NTZ '{text}'" if zoneless else f"TIMESTAMP '{text}+00:00'")
 
 
 def window_start(window: str, as_of: Column | datetime | None = None, zoneless: bool = False) -> Column:

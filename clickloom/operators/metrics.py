@@ -32,11 +32,11 @@ AsOf = Column | datetime | None
 
 
 def _conversion() -> Column:
-    return percent(F.col("purchases"), F.col("views"))
+    return percent("purchases", "views")
 
 
 def _order_value() -> Column:
-    return ratio(F.col("revenue"), F.col("purchases"))
+    return ratio("revenue", "purchases")
 
 
 def overview(events: DataFrame, window: str = "24h", as_of: AsOf = None, bounded: bool = False) -> DataFrame:
@@ -48,7 +48,7 @@ def overview(events: DataFrame, window: str = "24h", as_of: AsOf = None, bounded
         purchase_revenue().alias("total_revenue"),
     )
     return totals.withColumns({
-        "aov": ratio(F.col("total_revenue"), F.col("purchases")),
+        "aov": ratio("total_revenue", "purchases"),
         "cvr_pct": _conversion(),
     })
 
@@ -89,14 +89,14 @@ def funnel(
     """
     rows = _stage_rows(equal_to(in_window(events, window, as_of, bounded), category=category), stages)
     rates = rows.withColumns({
-        "step": percent(F.col("count"), F.col("previous")),
-        "overall": percent(F.col("last"), F.col("first")),
+        "step": percent("count", "previous"),
+        "overall": percent("last", "first"),
     })
     return rates.select(
         "stage",
         "count",
-        F.when(F.col("previous").isNotNull(), round_cents(F.col("step"))).alias("drop_off_pct"),
-        round_cents(F.col("overall")).alias("overall_cvr_pct"),
+        F.when(F.col("previous").isNotNull(), round_cents("step")).alias("drop_off_pct"),
+        round_cents("overall").alias("overall_cvr_pct"),
     )
 
 
@@ -192,7 +192,7 @@ def revenue(
     return (
         equal_to(in_window(events, window, as_of, bounded), event_type=PURCHASE)
         .groupBy(bucket_start(bucket, events).alias("bucket"))
-        .agg(F.count("*").alias("orders"), money_sum(F.col("price")).alias("revenue"))
+        .agg(F.count("*").alias("orders"), money_sum("price").alias("revenue"))
         .orderBy("bucket")
         .select(
             iso_text(F.col("bucket")).alias("bucket"),
@@ -206,13 +206,13 @@ def revenue(
 def revenue_totals(events: DataFrame, window: str = "24h", as_of: AsOf = None, bounded: bool = False) -> DataFrame:
     """Total revenue, orders and average order value of the window, money rounded to cents."""
     totals = equal_to(in_window(events, window, as_of, bounded), event_type=PURCHASE).agg(
-        F.count("*").alias("total_orders"), money_sum(F.col("price")).alias("total")
+        F.count("*").alias("total_orders"), money_sum("price").alias("total")
     )
-    means = totals.withColumn("mean", ratio(F.col("total"), F.col("total_orders")))
+    means = totals.withColumn("mean", ratio("total", "total_orders"))
     return means.select(
-        round_cents(F.col("total")).alias("total_revenue"),
+        round_cents("total").alias("total_revenue"),
         "total_orders",
-        round_cents(F.col("mean")).alias("overall_aov"),
+        round_cents("mean").alias("overall_aov"),
     )
 
 
@@ -233,7 +233,7 @@ def events_per_sec(events: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Events per second in the latest live minute; 0.0 when there is none."""
     latest = _live_minutes(events, as_of).agg(F.max_by("total", "bucket").alias("total"))
     rate = latest.select((F.coalesce("total", F.lit(0)) / F.lit(60.0)).alias("rate"))
-    return rate.select(round_cents(F.col("rate")).alias("events_per_sec"))
+    return rate.select(round_cents("rate").alias("events_per_sec"))
 
 
 def last_minute_total(events: DataFrame, as_of: AsOf = None) -> DataFrame:

@@ -15,8 +15,8 @@ def product_share(products: DataFrame, by: str = "revenue") -> DataFrame:
     The window has no partitions: its input is a top list, never the event table.
     """
     one_of("by", by, RANK_BY)
-    best = F.max(by).over(Window.partitionBy())
-    return products.withColumn("share_pct", F.least(ratio(F.col(by), best) * 100, F.lit(100.0)))
+    with_best = products.withColumn("best", F.max(by).over(Window.partitionBy()))
+    return with_best.withColumn("share_pct", F.least(ratio(by, "best") * 100, F.lit(100.0))).drop("best")
 
 
 def category_share(categories: DataFrame) -> DataFrame:
@@ -25,8 +25,8 @@ def category_share(categories: DataFrame) -> DataFrame:
     The best is a scalar subquery, which shares the aggregation's shuffle, so
     that the number of categories need not be small.
     """
-    best = categories.agg(F.max("revenue")).scalar()
-    return categories.withColumn("share_pct", ratio(F.col("revenue"), best) * 100)
+    with_best = categories.withColumn("best", categories.agg(F.max("revenue")).scalar())
+    return with_best.withColumn("share_pct", ratio("revenue", "best") * 100).drop("best")
 
 
 def category_profile(categories: DataFrame) -> DataFrame:

@@ -31,25 +31,23 @@ def latest_second(spark: SparkSession, sf_dir: str) -> datetime:
 
 def bind_columns(raw: DataFrame, categories: DataFrame | None, whole_seconds: bool = True) -> DataFrame:
     """Event columns from raw rows; without ``categories`` the category is empty."""
-    k = F.get_json_object("props", "$.k")
-    bound = raw
-    category = F.lit("")
+    bound, category = raw, "''"
     if categories is not None:
         # No broadcast hint: the planner broadcasts this side while its size
         # allows, and otherwise merge-joins, splitting hot keys at run time.
-        dim = categories.select("p_partkey", F.lower("p_type").alias("p_type"))
-        bound = raw.join(dim, k.try_cast("bigint") == dim["p_partkey"], "left")
-        category = F.coalesce("p_type", F.lit(""))
-    time = F.date_trunc("second", "ts").cast(raw.schema["ts"].dataType) if whole_seconds else F.col("ts")
-    return bound.select(
-        F.col("event_id").cast("string").alias("event_id"),
+        dim = categories.selectExpr("p_partkey", "lower(p_type) AS p_type")
+        bound = raw.join(dim, F.expr("try_cast(get_json_object(props, '$.k') AS BIGINT) = p_partkey"), "left")
+        category = "coalesce(p_type, '')"
+    time = "CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ)" if whole_seconds else "ts"
+    return bound.selectExpr(
+        "CAST(event_id AS STRING) AS event_id",
         "event_type",
-        F.concat(F.lit("u_"), F.col("user_id")).alias("user_id"),
-        F.concat(F.lit("p_"), k).alias("product_id"),
-        F.col("value").alias("price"),
-        time.alias("timestamp"),
-        category.alias("category"),
-        F.lit("").alias("ip_address"),
+        "concat('u_', user_id) AS user_id",
+        "concat('p_', get_json_object(props, '$.k')) AS product_id",
+        "value AS price",
+        f"{time} AS timestamp",
+        f"{category} AS category",
+        "'' AS ip_address",
     )
 
 

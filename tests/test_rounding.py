@@ -6,14 +6,12 @@ from decimal import Decimal
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-
 from clickloom.functions.aggregates import money_sum, round_cents
 
 
 def rounded(spark, values):
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i INT, x DOUBLE")
-    return [r.y for r in frame.select("i", round_cents(F.col("x")).alias("y")).orderBy("i").collect()]
+    return [r.y for r in frame.select("i", round_cents("x").alias("y")).orderBy("i").collect()]
 
 
 def test_ties(spark):
@@ -42,7 +40,7 @@ def test_any_double(spark, values):
 
 def total(spark, values, parts=4):
     frame = spark.createDataFrame([(v,) for v in values], "x DOUBLE").repartition(parts)
-    return frame.agg(money_sum(F.col("x")).alias("t")).first().t
+    return frame.agg(money_sum("x").alias("t")).first().t
 
 
 def test_money_is_exact_in_any_order(spark):

@@ -14,6 +14,10 @@ from clickloom.vocabulary import EVENT_COLUMNS, JOURNEY_LIMIT, LOG_LIMIT, in_ran
 
 AsOf = Column | datetime | None
 
+# What orders events of one second: the id, and for events that share it or lack
+# one, everything else, so that consecutive pages never repeat or skip a row.
+WITHIN_SECOND = ("event_id", "user_id", "product_id", "event_type", "price", "category", "ip_address")
+
 # Pages ending within this many rows are read off one sorted top list, to which
 # every task sends as many rows.
 SHALLOW_ROWS = 2_000
@@ -71,9 +75,9 @@ def user_events(
     return (
         in_window(events, window, as_of, bounded)
         .where(F.col("user_id") == F.lit(user_id))
-        .select("event_id", "event_type", "product_id", "price", "timestamp", "category")
-        .orderBy("timestamp", "event_id")
+        .orderBy("timestamp", *WITHIN_SECOND)
         .limit(limit)
+        .select("event_id", "event_type", "product_id", "price", "timestamp", "category")
         .withColumn("timestamp", iso_text(F.col("timestamp")))
     )
 
@@ -89,7 +93,7 @@ def list_events(
     as_of: AsOf = None,
     bounded: bool = False,
 ) -> DataFrame:
-    """One page of the log, newest first; equal times are ordered by event_id."""
+    """One page of the log, newest first; events of one second are ordered by event_id."""
     in_range("limit", limit, *LOG_LIMIT)
     in_range("offset", offset, 0)
     kept = equal_to(
@@ -97,7 +101,7 @@ def list_events(
         event_type=event_type, category=category, user_id=user_id,
     ).select(*EVENT_COLUMNS)
     if offset + limit <= SHALLOW_ROWS:
-        page = kept.orderBy(F.desc("timestamp"), "event_id").offset(offset).limit(limit)
+        page = kept.orderBy(F.desc("timestamp"), *WITHIN_SECOND).offset(offset).limit(limit)
     else:
         page = deep_page(kept, limit, offset)
     return page.withColumn("timestamp", iso_text(F.col("timestamp")))
@@ -140,7 +144,7 @@ def deep_page(kept: DataFrame, limit: int, offset: int) -> DataFrame:
     )
     numbered = near.join(F.broadcast(leads), ["timestamp", "lead"]).withColumn(
         "position",
-        F.col("before") + F.row_number().over(Window.partitionBy("timestamp", "lead").orderBy("event_id")),
+        F.col("before") + F.row_number().over(Window.partitionBy("timestamp", "lead").orderBy(*WITHIN_SECOND)),
     )
     return (
         numbered.where((F.col("position") > offset) & (F.col("position") <= offset + limit))

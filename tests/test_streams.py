@@ -12,7 +12,7 @@ from clickloom.sources.messages import decode, encode
 from clickloom.sources.scratch import fresh_folder
 from clickloom.sources.streams import kafka_options, read_kafka, read_message_files
 from clickloom.sources.table import batch_counts, read_events, read_table
-from clickloom.streaming import live, pipeline
+from clickloom.streaming import job, live, pipeline
 from clickloom.streaming.pipeline import start_ingest
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -180,3 +180,10 @@ def test_stream_plans_aggregate_before_the_shuffle(spark):
     events = fixture_events(spark, SF_DIR).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     plan = live.live_minutes(events)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Exchange") < plan.index("partial_count")
+
+
+def test_job_arguments():
+    options = job.arguments(["--servers", "b:9092", "--table", "/t", "--checkpoint", "/c", "--max-offsets", "500"])
+    assert (options.topic, options.every, options.max_offsets, options.unique_within) == (
+        "events", "10 seconds", 500, None,
+    )

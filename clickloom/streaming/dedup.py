@@ -6,26 +6,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-
-LATENESS = "10 minutes"
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drop further copies within each batch, and number the rows of the partition."""
+    row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        ids = batch.column("event_id").dictionary_encode().indices
-        _, first = np.unique(ids.to_numpy(zero_copy_only=False), return_index=True)
-        yield batch.take(pa.array(np.sort(first)))
+        codes = batch.column("event_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        keep = codes == -1
+        keep[np.unique(codes, return_index=True)[1]] = True
+        kept = batch.filter(pa.array(keep))
+        yield kept.append_column("row", pa.array(np.arange(row, row + kept.num_rows)))
+        row += kept.num_rows
+
 
+def suppress_duplicates(events: DataFrame, within: str) -> DataFrame:
+    """One row per event_id among copies that arrive ``within`` an interval of each other.
 
-def suppress_duplicates(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """One row per event_id among rows at most ``lateness`` apart in event time.
+    What counts is the time of the micro-batch, which Spark keeps with the
+    offsets, so that a batch run again decides the same. By event time an event
+    sent late would be older than the watermark and be dropped; by arrival no
+    row is ever too late. Rows without an id are not compared and all stay.
 
-    Meant for the valid part of ``split_malformed``. Rows older than the
-    watermark are dropped by Spark, so ``lateness`` must cover the longest
-    delay that matters. Copies that arrive together are dropped in the task
-    that reads them, so an id delivered very often does not travel to the one
-    task that keeps its state.
+    Copies that arrive together are dropped in the task that reads them, so an
+    id delivered very often does not travel to the one task that keeps its
+    state.
     """
-    thinned = events.mapInArrow(_first_copies, events.schema)
-    return thinned.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(["event_id"])
+    # Makes rows without an id differ from each other, within and across batches.
+    stray = F.expr("CASE WHEN event_id IS NULL THEN concat_ws('-', arrived, row) END")
+    return (
+        events.mapInArrow(_first_copies, StructType([*events.schema, StructField("row", LongType())]))
+        .withColumn("arrived", F.current_timestamp())
+        .withWatermark("arrived", within)
+        .withColumn("stray", stray)
+        .dropDuplicatesWithinWatermark(["event_id", "stray"])
+        .select(*events.columns)
+    )

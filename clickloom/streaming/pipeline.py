@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from clickloom.sources.messages import decode, normalize, split_malformed
+from clickloom.sources.messages import decode, normalize
 from clickloom.sources.table import write_events
 from clickloom.streaming.dedup import suppress_duplicates
 
@@ -72,11 +72,9 @@ def start_ingest(
 
     Malformed messages are kept, as rows of default values. With
     ``unique_within``, an interval such as "10 minutes", further copies of an
-    event are left out; see ``suppress_duplicates`` for what happens to rows
-    later than that. Malformed messages have no id to compare and all stay.
+    event arriving within that time are left out; see ``suppress_duplicates``.
     """
     events = decode(messages)
     if unique_within is not None:
-        valid, malformed = split_malformed(events)
-        events = suppress_duplicates(valid, unique_within).unionAll(malformed)
+        events = suppress_duplicates(events, unique_within)
     return start_table_sink(normalize(events), path, checkpoint, every, on_batch)

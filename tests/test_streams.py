@@ -120,6 +120,30 @@ def test_duplicates_within_and_across_batches(spark):
     assert stored_ids(spark, folder) == ["", "", "b", "c", "hot"]
 
 
+def test_events_sent_late_are_not_taken_for_duplicates(spark):
+    folder = fresh_folder(spark, "t")
+    for line in (message("new", "2024-06-01T00:00:00"), message("old", "2023-01-01T00:00:00"), '{"event_id":"no time"}'):
+        send(spark, f"{folder}/in", line, line)
+        ingest(spark, folder, unique_within="10 minutes")
+    assert stored_ids(spark, folder) == ["new", "no time", "old"]
+
+
+def test_duplicates_after_a_crash(spark):
+    """The batch that failed after writing is run again: nothing twice, nothing lost."""
+    folder = fresh_folder(spark, "t")
+    send(spark, f"{folder}/in", *[message(f"e{i % 10}", "2024-01-01T00:00:00") for i in range(40)], "x", "y")
+
+    def crash(batch_id, row_count):
+        raise RuntimeError("lost")
+
+    with pytest.raises(StreamingQueryException):
+        ingest(spark, folder, unique_within="10 minutes", on_batch=crash)
+    ingest(spark, folder, unique_within="10 minutes")
+    send(spark, f"{folder}/in", message("e3", "2024-01-01T00:00:00"), "x")
+    ingest(spark, folder, unique_within="10 minutes")
+    assert stored_ids(spark, folder) == ["", "", ""] + [f"e{i}" for i in range(10)]
+
+
 def test_live_minutes_accept_late_rows_and_report_too_late_ones(spark):
     folder = fresh_folder(spark, "t")
     batches = [

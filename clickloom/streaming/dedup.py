@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -12,18 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 
-def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop further copies within each batch, and number the rows of the partition."""
-    row = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        codes = batch.column("event_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        keep = codes == -1
-        keep[np.unique(codes, return_index=True)[1]] = True
-        kept = batch.filter(pa.array(keep))
-        yield kept.append_column("row", pa.array(np.arange(row, row + kept.num_rows)))
-        row += kept.num_rows
-
-
 def suppress_duplicates(events: DataFrame, within: str) -> DataFrame:
     """One row per event_id among copies that arrive ``within`` an interval of each other.
 
@@ -36,10 +22,23 @@ def suppress_duplicates(events: DataFrame, within: str) -> DataFrame:
     id delivered very often does not travel to the one task that keeps its
     state.
     """
+
+    # Defined in here so that it is sent to the executors as a whole, and they
+    # need not have this package installed.
+    def first_copies(batches):
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            codes = batch.column("event_id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            keep = codes == -1
+            keep[np.unique(codes, return_index=True)[1]] = True
+            kept = batch.filter(pa.array(keep))
+            yield kept.append_column("row", pa.array(np.arange(row, row + kept.num_rows)))
+            row += kept.num_rows
+
     # Makes rows without an id differ from each other, within and across batches.
     stray = F.expr("CASE WHEN event_id IS NULL THEN concat_ws('-', arrived, row) END")
     return (
-        events.mapInArrow(_first_copies, StructType([*events.schema, StructField("row", LongType())]))
+        events.mapInArrow(first_copies, StructType([*events.schema, StructField("row", LongType())]))
         .withColumn("arrived", F.current_timestamp())
         .withWatermark("arrived", within)
         .withColumn("stray", stray)

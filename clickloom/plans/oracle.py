@@ -170,6 +170,7 @@ ORACLE: dict[str, str] = {
         SELECT coalesce(round_even(arg_max(total, b) / 60.0::DOUBLE, 2), 0.0) AS events_per_sec
         FROM live""",
     "events_page": f"{_page()} SELECT {_LOG} FROM page",
+    "events_deep_page": f"{_page(limit=50, offset=5000)} SELECT {_LOG} FROM page",
     "events_filtered": f"""{_page("AND event_type = 'purchase' AND user_id = 'u_42'", 50, 0)}
         SELECT {_LOG} FROM page""",
     "event_total": "SELECT count(*) AS total_events FROM events",

@@ -31,7 +31,11 @@ FIXTURE_STAGES = ("view", "click", "signup", "purchase")
 
 
 def _windowed(
-    operator: Callable[..., DataFrame], window: str, with_category: bool = False, raw_user: int | None = None, **arguments
+    operator: Callable[..., DataFrame],
+    window: str,
+    with_category: bool = False,
+    raw_user: int | None = None,
+    **arguments,
 ) -> Query:
     """``operator`` over the fixture events, at the time of the newest event.
 
@@ -261,6 +265,7 @@ QUERIES: dict[str, Query] = {
     "realtime": _live(metrics.realtime),
     "events_per_sec": _live(metrics.events_per_sec),
     "events_page": _PAGE,
+    "events_deep_page": _windowed(log.list_events, "30d", with_category=True, limit=50, offset=5000),
     "events_filtered": _windowed(
         log.list_events, "30d", with_category=True, raw_user=42,
         limit=50, event_type="purchase", user_id="u_42", category="",

@@ -17,7 +17,10 @@ from clickloom.vocabulary import WINDOWS
 
 
 class Reports:
-    """Reports over the event table ``source``, a folder or a registered name, as of a fixed moment or, by default, of each call."""
+    """Reports over the event table ``source``, a folder or a registered name.
+
+    They are as of a fixed moment or, by default, of each call.
+    """
 
     def __init__(self, spark: SparkSession, source: str, as_of: datetime | None = None):
         self._spark = spark

@@ -1,6 +1,6 @@
 """Operators on hand-made rows, for the cases the fixture tables lack."""
 
-from datetime import datetime, timezone
+from datetime import timezone
 
 import pytest
 from conftest import AS_OF

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,15 +10,15 @@ from pyspark.sql import SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only a local session, where driver and executors are one process, may do
-    without and gets a temporary folder.
+    It is ``spark.checkpoint.dir``. Only a local session, where driver and
+    executors are one process, may do without and uses the warehouse folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.gettempdir()
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.sources.scratch import fresh_folder
 
 # A word is a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
+# bytes.split() without arguments splits at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def pick(frame: DataFrame, **wanted: str) -> DataFrame:
@@ -50,3 +55,15 @@ def settle(frame: DataFrame, purpose: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text in order, in lists from about ``size`` bytes each."""
+    at = 0
+    while len(data) - at > size:
+        cut = _SPACE.search(data, at + size)
+        if cut is None:
+            break
+        yield data[at:cut.start()].split()
+        at = cut.end()
+    yield (data[at:] if at else data).split()

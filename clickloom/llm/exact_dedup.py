@@ -55,7 +55,9 @@ class DigestIndex:
         """Add what is unseen of rows (doc_id, digest): one sorted file per bucket."""
         fresh = self.unseen(digests).select("digest", F.col("keep_id").cast("long"))
         # Settled first: a table cannot be read and extended by the same query.
-        fresh = settle(fresh, "unseen").repartition(self._buckets, "digest")
+        # Dealt by bucket, so that a bucket is written by one task whatever the number of partitions.
+        bucket = F.pmod(F.hash("digest"), F.lit(self._buckets))
+        fresh = settle(fresh, "unseen").repartition(self._buckets, bucket)
         (
             fresh.write.bucketBy(self._buckets, "digest").sortBy("digest")
             .format("parquet").mode("append").saveAsTable(self._table)

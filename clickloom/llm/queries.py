@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import chat, exact_dedup, mixing, repeated_phrases, simhash, warc
+from clickloom.llm import (
+    chat, decontaminate, exact_dedup, language_id, mixing, pii, quality, repeated_phrases, simhash, warc,
+)
 from clickloom.llm.oracle import ORACLE
 
 
@@ -15,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.find(table(spark, sf_dir, "documents"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("proven", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return spans.select(
+        "doc_id", *map(number, pii.KINDS), F.sha2(pii.spelled(F.col("proven")), 256).alias("base_sha256"),
+        pii.spelled(pii.in_order(F.concat("proven", "found"))).alias("spans"),
+    )
+
+
 def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeated_phrases.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -25,11 +39,25 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "p_document", "p_site", "p_good", "kept")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.capture_histories(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "distance", "first_word", "end_word")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = exact_dedup.verdicts(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -63,9 +91,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_repeated_phrases": op2_repeated_phrases,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op5_warc": op5_warc,
+    "op6_language_id": op6_language_id,
+    "op7_decontamination": op7_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,

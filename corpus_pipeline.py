@@ -1,6 +1,56 @@
-STAGES = []
+"""A corpus pipeline: judge, deduplicate, decontaminate and mix the documents table.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as
+Parquet and read again as the next stage's documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from clickloom.llm import decontaminate, exact_dedup, mixing, quality, simhash
+from clickloom.llm.common import settle
+
+
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal text the one with the largest id stays."""
+    return exact_dedup.deduplicate(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with near fingerprints the one with the smallest id stays."""
+    return simhash.representatives(docs, shingle=simhash.SHINGLE, max_bits=simhash.MAX_BITS)
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.remove_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated until each source has its target weight."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", judge_quality),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_leaked),
+    ("mixing sources to target weights", mix_sources),
+]
+
+# SQL can express neither the classifier nor fingerprints; tests check the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return docs

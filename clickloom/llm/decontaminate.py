@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +34,12 @@ SAMPLED, KEYS_PER_WALK, MOST_WALKS = 2, 4, 24
 BLOCK_ITEMS = 20_000
 SEED = 20_240_501
 _FILTER_BITS = 20
-_PUNCTUATION = np.array(
-    [32 if b < 0x80 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8
-)
+_PUNCTUATION = np.array([32 if b < 0x80 and not chr(b).isalnum() else b for b in range(256)], np.uint8)
 
 
 def words_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, word hashes, first word of each text and their total): A-Z lower-cased, ASCII punctuation dropped."""
-    for row, data, offsets in text_chunks(column):
+    """(first row, word hashes, first word of each text and their total): lower-cased, ASCII punctuation dropped."""
+    for row, data, offsets in text_chunks(pc.utf8_lower(column)):
         plain = _PUNCTUATION[data]
         starts, ends, firsts = word_spans(plain, offsets)
         yield row, word_hashes(plain, starts, ends), firsts
@@ -275,8 +274,7 @@ class ItemIndex:
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL) -> DataFrame:
     """(doc_id, text_hash, item_id, distance, first_word, end_word), one row per document and item leaked into it.
 
-    Words are runs of ASCII letters, digits and other characters beyond ASCII;
-    A-Z is lower-cased. ``distance`` is at most ``share`` of the item's words;
+    Words are lower-cased runs of ASCII letters, digits and all characters beyond ASCII. ``distance`` is at most ``share`` of the item's words;
     the first and end word place the nearest stretch. Null text has no words,
     and an item without words leaks nowhere. Items alike are all reported.
     Repeated rows are reported as often as they come. Without documents or items

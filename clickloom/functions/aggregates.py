@@ -24,14 +24,22 @@ def stage_counts() -> list[Column]:
 def money_sum(amount: str) -> Column:
     """Sum of a DOUBLE amount, given as a column name or SQL; 0.0 when there is nothing to add.
 
-    A plain double sum depends on the order in which tasks finish. Here the
-    cents are summed as BIGINT, and only what is left of each amount after
-    taking its cents off is summed as double. That rest is exactly 0.0 for
-    every two-decimal amount below a million, so money adds up exactly and in
-    any order, while any other number is still counted in full.
+    A plain double sum depends on the order in which tasks finish. Here each
+    amount is taken apart into whole numbers, whose sums do not: its cents, and
+    what is left of it in units of 2**-62, which is nothing for two-decimal
+    amounts; each in two parts, so that no sum overflows. From 4e13 on, where cents
+    are no longer exact, amounts are added as decimals; only from 1e30 on, and
+    for NaN and infinities, as doubles.
     """
-    cents = f"CASE WHEN abs({amount}) < 1e6D THEN rint(({amount}) * 100) ELSE 0D END"
-    return F.expr(f"coalesce(sum(CAST({cents} AS BIGINT)) / 100D + sum(({amount}) - {cents} / 100D), 0D)")
+    cents = f"CAST(CASE WHEN abs({amount}) < 4e13D THEN rint(({amount}) * 100) ELSE 0D END AS BIGINT)"
+    rest = f"CAST(CASE WHEN abs({amount}) < 4e13D THEN rint((({amount}) - {cents} / 100D) * {2**62}D) ELSE 0D END AS BIGINT)"
+    large = f"CASE WHEN abs({amount}) >= 4e13D AND abs({amount}) < 1e30D THEN {amount} END"
+    return F.expr(
+        f"coalesce((sum({cents} div {2**20}) * {2**20}D + sum({cents} % {2**20})) / 100D"
+        f" + (sum({rest} div {2**24}) * {2**24}D + sum({rest} % {2**24})) / {2**62}D"
+        f" + coalesce(CAST(sum(CAST({large} AS DECIMAL(38, 2))) AS DOUBLE), 0D)"
+        f" + coalesce(sum(CASE WHEN abs({amount}) >= 1e30D THEN {amount} END), 0D), 0D)"
+    )
 
 
 def purchase_revenue() -> Column:

@@ -18,9 +18,9 @@ AsOf = Column | datetime | None
 # one, everything else, so that consecutive pages never repeat or skip a row.
 WITHIN_SECOND = ("event_id", "user_id", "product_id", "event_type", "price", "category", "ip_address")
 
-# Pages ending within this many rows are read off one sorted top list, to which
-# every task sends as many rows.
-SHALLOW_ROWS = 2_000
+# A top list of so many rows costs less than counting first; both ways give the same page.
+TOP_LIST_ROWS = 2_000
+# A crowded second is split by so many characters behind what all its ids begin with.
 LEAD_CHARACTERS = 4
 
 
@@ -100,14 +100,14 @@ def list_events(
         in_window(events, window, as_of, bounded),
         event_type=event_type, category=category, user_id=user_id,
     ).select(*EVENT_COLUMNS)
-    if offset + limit <= SHALLOW_ROWS:
+    if offset + limit <= TOP_LIST_ROWS:
         page = kept.orderBy(F.desc("timestamp"), *WITHIN_SECOND).offset(offset).limit(limit)
     else:
         page = deep_page(kept, limit, offset)
     return page.withColumn("timestamp", iso_text(F.col("timestamp")))
 
 
-def _overlapping(groups: DataFrame, order: WindowSpec, limit: int, offset: int) -> DataFrame:
+def _touched(groups: DataFrame, order: WindowSpec, limit: int, offset: int) -> DataFrame:
     """Groups holding rows of the page, from row counts ``n``.
 
     ``before`` is the number of rows in front of a group. It is added to the
@@ -118,31 +118,57 @@ def _overlapping(groups: DataFrame, order: WindowSpec, limit: int, offset: int)
     return placed.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).drop("n")
 
 
+def _within(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
+    """Rows of the groups, with the groups' other columns; null keys meet each other.
+
+    At most ``limit`` groups can hold rows of a page, which bounds the broadcast.
+    """
+    small = F.broadcast(groups.withColumnsRenamed({key: f"of_{key}" for key in keys}))
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"of_{key}"))
+    return rows.join(small, same).drop(*[f"of_{key}" for key in keys])
+
+
+def _shared_start(low: str, high: str) -> Column:
+    """Length of what two texts, and all texts between them, begin with."""
+    return F.expr(
+        f"aggregate(sequence(1, greatest(1, least(length({low}), length({high})))), 0, "
+        f"(n, i) -> CASE WHEN n = i - 1 AND substring({low}, i, 1) = substring({high}, i, 1) "
+        f"AND i <= length({low}) THEN i ELSE n END)"
+    )
+
+
 def deep_page(kept: DataFrame, limit: int, offset: int) -> DataFrame:
     """Page ``offset`` rows into the log, without sorting the rows in front of it.
 
-    Row counts say where the page lies: first counts per second, of which a
-    window has a bounded number, then, in the few seconds the page touches,
-    counts per leading characters of event_id, so that one crowded second is
-    not sorted in one task either. Only rows of the groups left after that are
-    numbered. At most ``limit`` groups can hold rows of the page, which bounds
-    what is broadcast.
+    Row counts say where the page lies: counts per hour, of which a window has
+    few, then per second of the hours the page touches, then, in the seconds it
+    touches, per leading characters of event_id behind what the second's ids
+    have in common, so that a crowded second is not sorted in one task. Only
+    rows of the groups left after that are numbered. Null ids come first, and
+    null times last, as in the sorted log.
     """
-    seconds = _overlapping(
-        kept.groupBy("timestamp").agg(F.count("*").alias("n")).withColumn("before", F.lit(0).cast("bigint")),
-        Window.orderBy(F.desc("timestamp")), limit, offset,
+    in_range("limit", limit, *LOG_LIMIT)
+    in_range("offset", offset, 0)
+    rows = kept.withColumn("hour", F.date_trunc("hour", "timestamp"))
+    counted = rows.groupBy("hour").agg(F.count("*").alias("n")).withColumn("before", F.lit(0).cast("bigint"))
+    hours = _touched(counted, Window.orderBy(F.desc("hour")), limit, offset)
+    seconds = _touched(
+        _within(rows, hours, "hour").groupBy("hour", "timestamp").agg(
+            F.count("*").alias("n"), F.first("before").alias("before"),
+            F.min("event_id").alias("low"), F.max("event_id").alias("high"),
+        ),
+        Window.partitionBy("hour").orderBy(F.desc("timestamp")), limit, offset,
     )
-    span = seconds.agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high"))
-    near = kept.where(
-        F.col("timestamp").between(span.select("low").scalar(), span.select("high").scalar())
-    ).withColumn("lead", F.substring("event_id", 1, LEAD_CHARACTERS))
-    leads = _overlapping(
-        near.join(F.broadcast(seconds), "timestamp")
-        .groupBy("timestamp", "lead")
-        .agg(F.count("*").alias("n"), F.first("before").alias("before")),
+    seconds = seconds.withColumn("start", _shared_start("low", "high")).drop("hour", "low", "high")
+    lead = F.substring("event_id", F.coalesce("start", F.lit(0)) + F.lit(1), F.lit(LEAD_CHARACTERS))
+    near = _within(rows, seconds, "timestamp").withColumn("lead", lead)
+    leads = _touched(
+        near.groupBy("timestamp", "lead").agg(F.count("*").alias("n"), F.first("before").alias("before")),
         Window.partitionBy("timestamp").orderBy("lead"), limit, offset,
     )
-    numbered = near.join(F.broadcast(leads), ["timestamp", "lead"]).withColumn(
+    numbered = _within(near.drop("before"), leads, "timestamp", "lead").withColumn(
         "position",
         F.col("before") + F.row_number().over(Window.partitionBy("timestamp", "lead").orderBy(*WITHIN_SECOND)),
     )

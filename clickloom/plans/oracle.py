@@ -171,6 +171,22 @@ ORACLE: dict[str, str] = {
         FROM live""",
     "events_page": f"{_page()} SELECT {_LOG} FROM page",
     "events_deep_page": f"{_page(limit=50, offset=5000)} SELECT {_LOG} FROM page",
+    "events_deep_page_null_ids": f"""{_EVENTS}, page AS (
+        SELECT * REPLACE (CASE WHEN event_id::BIGINT % 3 <> 0 THEN event_id END AS event_id) FROM bound
+        WHERE {_since('30 DAY')}
+        ORDER BY ts DESC, 1 NULLS FIRST, user_id, product_id, event_type, price, category LIMIT 50 OFFSET 5000)
+        SELECT {_LOG} FROM page""",
+    "events_hot_second": f"""{_EVENTS}, page AS (
+        SELECT * REPLACE ('evt-2024-' || event_id AS event_id,
+                          CASE WHEN event_id::BIGINT % 2 = 0 THEN TIMESTAMP '2024-01-20 12:00:00' ELSE ts END AS ts)
+        FROM bound WHERE {_since('30 DAY')}),
+        sorted AS (SELECT * FROM page ORDER BY ts DESC, event_id LIMIT 50 OFFSET 4000)
+        SELECT {_LOG} FROM sorted""",
+    "revenue_large_amounts": f"""{_EVENTS}, sales AS (
+        SELECT category, {_STAGES}, CAST(coalesce(sum(CAST(round(price * 100) AS BIGINT) * 10000)
+               FILTER (event_type = 'purchase'), 0) AS DOUBLE) AS revenue
+        FROM bound WHERE {_since('30 DAY')} GROUP BY category)
+        SELECT *, {_CVR} AS cvr_pct, {_aov('revenue')} AS aov FROM sales""",
     "events_filtered": f"""{_page("AND event_type = 'purchase' AND user_id = 'u_42'", 50, 0)}
         SELECT {_LOG} FROM page""",
     "event_total": "SELECT count(*) AS total_events FROM events",
@@ -236,6 +252,7 @@ ORACLE: dict[str, str] = {
     "rate_capped_ingest": """
         SELECT count(*) AS row_count, TRUE AS batches_as_capped, TRUE AS several_batches FROM events""",
     "dedup_stream": _WHOLE_TABLE,
+    "table_by_name": _WHOLE_TABLE,
     "live_minutes": f"""{_EVENTS}
         SELECT {_ISO.format("date_trunc('minute', ts)")} AS bucket, {_STAGES}, count(*) AS total
         FROM bound GROUP BY 1""",

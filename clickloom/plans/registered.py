@@ -94,6 +94,31 @@ _TOP_EIGHT = _windowed(metrics.top_products, "30d", with_category=True, limit=8)
 _PAGE = _windowed(log.list_events, "30d", with_category=True, limit=20, offset=20)
 
 
+def _of_all(operator: Callable[..., DataFrame], change: Callable[[DataFrame], DataFrame], **arguments) -> Query:
+    """``operator`` over changed fixture events."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        as_of = latest_second(spark, sf_dir)
+        return operator(change(fixture_events(spark, sf_dir)), window="30d", as_of=as_of, **arguments)
+
+    return run
+
+
+def _some_null_ids(events: DataFrame) -> DataFrame:
+    """A third of the events lose their id."""
+    return events.withColumn("event_id", F.expr("CASE WHEN CAST(event_id AS BIGINT) % 3 <> 0 THEN event_id END"))
+
+
+def _one_hot_second(events: DataFrame) -> DataFrame:
+    """Half of the events happen in one second, and all ids begin alike."""
+    moved = "CASE WHEN CAST(event_id AS BIGINT) % 2 = 0 THEN TIMESTAMP_NTZ '2024-01-20 12:00:00' ELSE timestamp END"
+    return events.withColumn("timestamp", F.expr(moved)).withColumn("event_id", F.expr("concat('evt-2024-', event_id)"))
+
+
+def _large_amounts(events: DataFrame) -> DataFrame:
+    return events.withColumn("price", F.expr("rint(price * 100) * 10000D"))
+
+
 def _page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaping.page_info(_PAGE(spark, sf_dir), limit=20, offset=20)
 
@@ -170,14 +195,22 @@ def _ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(read_events(spark, f"{folder}/table"))
 
 
-def _in_two_runs(spark: SparkSession, sf_dir: str, folder: str) -> None:
+def _in_two_runs(spark: SparkSession, sf_dir: str, folder: str, name: str | None = None) -> None:
     """Ingest cheap events, then the others from the same checkpoint, then find nothing new."""
     events = fixture_events(spark, sf_dir, whole_seconds=False)
     for part in (F.col("price") < 50, F.col("price") >= 50, None):
         if part is not None:
             encode(events.where(part)).write.mode("append").text(f"{folder}/in")
         messages = read_message_files(spark, f"{folder}/in")
-        start_ingest(messages, f"{folder}/table", f"{folder}/checkpoint", every=None).awaitTermination()
+        start_ingest(messages, f"{folder}/table", f"{folder}/checkpoint", every=None, name=name).awaitTermination()
+
+
+def _table_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table read by its registered name after several batches, without a repair."""
+    folder = fresh_folder(spark, "named")
+    name = "events_" + folder.rpartition("-")[2]
+    _in_two_runs(spark, sf_dir, folder, name)
+    return _as_text(read_events(spark, name))
 
 
 def _recovery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,14 +244,15 @@ def _rate_capped_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages delivered one to three times are stored once."""
+    """Messages delivered one to three times, later copies in later batches, are stored once."""
     folder = fresh_folder(spark, "dedup")
     events = fixture_events(spark, sf_dir, whole_seconds=False)
-    copies = F.explode(F.sequence(F.lit(0), F.length("event_type") % 3)).alias("copy")
-    encode(events.select("*", copies)).write.text(f"{folder}/in")
+    for copy in range(3):
+        again = events.where(F.length("event_type") % 3 >= copy)
+        encode(again).coalesce(1).write.mode("append").text(f"{folder}/in")
     start_ingest(
-        read_message_files(spark, f"{folder}/in"), f"{folder}/table", f"{folder}/checkpoint",
-        every=None, unique_within="10 minutes",
+        read_message_files(spark, f"{folder}/in", max_files_per_trigger=1), f"{folder}/table",
+        f"{folder}/checkpoint", every=None, unique_within="10 minutes",
     ).awaitTermination()
     return _as_text(read_events(spark, f"{folder}/table"))
 
@@ -266,6 +300,9 @@ QUERIES: dict[str, Query] = {
     "events_per_sec": _live(metrics.events_per_sec),
     "events_page": _PAGE,
     "events_deep_page": _windowed(log.list_events, "30d", with_category=True, limit=50, offset=5000),
+    "events_deep_page_null_ids": _of_all(log.list_events, _some_null_ids, limit=50, offset=5000),
+    "events_hot_second": _of_all(log.list_events, _one_hot_second, limit=50, offset=4000),
+    "revenue_large_amounts": _of_all(metrics.top_categories, _large_amounts),
     "events_filtered": _windowed(
         log.list_events, "30d", with_category=True, raw_user=42,
         limit=50, event_type="purchase", user_id="u_42", category="",
@@ -285,6 +322,7 @@ QUERIES: dict[str, Query] = {
     "table_roundtrip_month": _table_roundtrip,
     "ingest_stream": _ingest_stream,
     "recovery_stream": _recovery_stream,
+    "table_by_name": _table_by_name,
     "batch_counts": _batch_counts,
     "rate_capped_ingest": _rate_capped_ingest,
     "dedup_stream": _dedup_stream,

@@ -26,19 +26,34 @@ TABLE_DDL = (
 )
 
 
+def define_events_table(spark: SparkSession, name: str, path: str) -> None:
+    """Register the table in the catalog unless it is there; the folder need not exist yet."""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({TABLE_DDL}) USING parquet "
+        f"PARTITIONED BY ({', '.join(PARTITION_COLUMNS)}) LOCATION '{path}'"
+    )
+
+
 def create_events_table(spark: SparkSession, name: str, path: str) -> None:
     """Register the table in the catalog unless it is there, and pick up its partitions.
 
     Reading a table of many batches by this name lets the catalog say which
     months to list; reading it by its folder lists them all first.
     """
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({TABLE_DDL}) USING parquet "
-        f"PARTITIONED BY ({', '.join(PARTITION_COLUMNS)}) LOCATION '{path}'"
-    )
+    define_events_table(spark, name, path)
     spark.sql(f"MSCK REPAIR TABLE {name}")
 
 
+def add_partitions(spark: SparkSession, name: str, months: list[int], ingest_id: str, batch_id: int) -> None:
+    """Make one batch's rows visible under the table's registered name."""
+    for month in months:
+        spark.sql(
+            f"ALTER TABLE {name} ADD IF NOT EXISTS "
+            f"PARTITION (event_month = {month}, ingest_id = '{ingest_id}', batch_id = {batch_id})"
+        )
+    spark.catalog.refreshTable(name)
+
+
 def _laid_out(events: DataFrame, ingest_id: str, batch_id: int) -> DataFrame:
     """Rows grouped by hour into files of even size, each file in table order.
 

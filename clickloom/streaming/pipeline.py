@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from clickloom.functions.times import month_key
 from clickloom.sources.messages import decode, normalize
-from clickloom.sources.table import write_events
+from clickloom.sources.table import add_partitions, create_events_table, define_events_table, write_events
 from clickloom.streaming.dedup import suppress_duplicates
 
 log = logging.getLogger(__name__)
@@ -30,6 +31,7 @@ def start_table_sink(
     checkpoint: str,
     every: str | None = TRIGGER,
     on_batch: Callable[[int, int], None] | None = None,
+    name: str | None = None,
 ) -> StreamingQuery:
     """Write a normalised event stream into the table, one write job per micro-batch.
 
@@ -38,18 +40,29 @@ def start_table_sink(
     crash replaces its own rows; a new checkpoint starts a new id and touches
     no older rows. Errors are not caught: they fail the batch, and it is run
     again on restart. ``on_batch`` is told the batch number and its row count,
-    counted while the rows are written.
+    counted while the rows are written; should executors be lost meanwhile, rows
+    read again may be counted again. With ``name``, the registered name of the
+    table, each batch is added to the catalog before it counts as done.
     """
+    if name is not None:
+        define_events_table(events.sparkSession, name, path)
     started = threading.Event()
     ingest: dict[str, str] = {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         started.wait()
         counted = Observation()
-        rows = batch.observe(counted, F.count(F.lit(1)).alias("row_count"))
+        months = F.collect_set(month_key(F.col("timestamp"))).alias("months")
+        rows = batch.observe(counted, F.count(F.lit(1)).alias("row_count"), months)
         write_events(rows, path, ingest["id"], batch_id)
         row_count = counted.get["row_count"]
-        log.info("batch %d: %d rows written", batch_id, row_count)
+        if name is not None and "seen" not in ingest:
+            # Also what was written before the table had a name.
+            create_events_table(batch.sparkSession, name, path)
+            ingest["seen"] = "all"
+        elif name is not None:
+            add_partitions(batch.sparkSession, name, sorted(counted.get["months"]), ingest["id"], batch_id)
+        log.info("stored batch %d of about %d events", batch_id, row_count)
         if on_batch is not None:
             on_batch(batch_id, row_count)
 
@@ -67,14 +80,16 @@ def start_ingest(
     every: str | None = TRIGGER,
     on_batch: Callable[[int, int], None] | None = None,
     unique_within: str | None = None,
+    name: str | None = None,
 ) -> StreamingQuery:
     """Decode, normalise and store a message stream.
 
     Malformed messages are kept, as rows of default values. With
     ``unique_within``, an interval such as "10 minutes", further copies of an
     event arriving within that time are left out; see ``suppress_duplicates``.
+    ``name`` keeps the table complete under its registered name.
     """
     events = decode(messages)
     if unique_within is not None:
         events = suppress_duplicates(events, unique_within)
-    return start_table_sink(normalize(events), path, checkpoint, every, on_batch)
+    return start_table_sink(normalize(events), path, checkpoint, every, on_batch, name)

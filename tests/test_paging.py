@@ -17,7 +17,7 @@ def crowded(spark):
     rows = []
     for i in range(1500):
         second = 500 if rng.random() < 0.34 else rng.randrange(1, 900)
-        event_id = rng.choice(["", "abcd", "evt-", f"{rng.randrange(99999):05d}"]) + str(rng.randrange(2000))
+        event_id = rng.choice(["", "abcd", "evt-", f"{rng.randrange(99999):05d}"]) + str(rng.randrange(2000)) if rng.random() < 0.7 else None
         rows.append((event_id, "view", f"u_{i}", "p", 1.0, AS_OF - timedelta(seconds=second), "c", "ip"))
     return spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
 
@@ -32,9 +32,23 @@ def test_deep_page_is_a_slice(crowded, offset, limit):
     assert keys(log.deep_page(crowded, limit, offset)) == whole[offset:offset + limit]
 
 
+def test_limits_are_checked(crowded):
+    for limit, offset in ((0, 0), (1001, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            log.deep_page(crowded, limit, offset)
+
+
+def test_a_crowded_second_is_split_behind_what_its_ids_share(spark):
+    rows = [(f"evt-2024-{i:05d}", "view", "u", "p", 1.0, AS_OF, "c", "ip") for i in range(3000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert keys(log.deep_page(frame, 10, 2500)) == [(str(AS_OF), f"evt-2024-{i:05d}", "u") for i in range(2500, 2510)]
+    start = frame.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).select(log._shared_start("low", "high"))
+    assert start.first()[0] == len("evt-2024-0")
+
+
 def test_list_events_switches_over(crowded, monkeypatch):
     plain = log.list_events(crowded, 30, 600, as_of=AS_OF).collect()
-    monkeypatch.setattr(log, "SHALLOW_ROWS", 100)
+    monkeypatch.setattr(log, "TOP_LIST_ROWS", 100)
     deep = log.list_events(crowded, 30, 600, as_of=AS_OF)
     assert deep.collect() == plain
     assert deep.columns == log.list_events(crowded, as_of=AS_OF).columns

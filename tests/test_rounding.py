@@ -59,3 +59,22 @@ def test_numbers_that_are_not_money_still_count(spark):
     assert total(spark, [1.0, math.inf]) == math.inf
     assert total(spark, [None, None]) == 0.0
     assert total(spark, [None, 1.5]) == 1.5
+
+
+def test_money_does_not_depend_on_order(spark):
+    import random
+
+    rng = random.Random(4)
+    amounts = [rng.uniform(1e6, 1e7) for _ in range(3000)] + [rng.uniform(0, 1) for _ in range(500)] + [3e14 + 0.25, -2e13]
+    sums = set()
+    for _ in range(4):
+        rng.shuffle(amounts)
+        frame = spark.createDataFrame([(x,) for x in amounts], "x double").repartition(3)
+        sums.add(frame.agg(money_sum("x")).first()[0])
+    assert len(sums) == 1 and abs(sums.pop() - math.fsum(amounts)) < 1e-2
+
+
+def test_money_beyond_numbers(spark):
+    for odd, wanted in ((float("inf"), float("inf")), (1e300, 1e300)):
+        assert spark.createDataFrame([(odd,), (1.0,), (None,)], "x double").agg(money_sum("x")).first()[0] == wanted
+    assert math.isnan(spark.createDataFrame([(math.nan,), (1.0,)], "x double").agg(money_sum("x")).first()[0])

@@ -111,6 +111,26 @@ def test_a_new_checkpoint_does_not_overwrite(spark):
     assert stored_ids(spark, folder) == ["a", "a"]
 
 
+def test_events_with_an_empty_id_are_no_copies(spark):
+    folder = fresh_folder(spark, "t")
+    send(spark, f"{folder}/in", *[message("", f"2024-01-01T00:00:0{i}") for i in range(5)])
+    ingest(spark, folder, unique_within="10 minutes")
+    send(spark, f"{folder}/in", message("", "2024-01-01T00:00:00"), message("a", "2024-01-01T00:00:00"))
+    ingest(spark, folder, unique_within="10 minutes")
+    assert stored_ids(spark, folder) == [""] * 6 + ["a"]
+
+
+def test_the_state_drops_copies_of_later_batches(spark):
+    folder = fresh_folder(spark, "t")
+    for _ in range(2):
+        send(spark, f"{folder}/in", *[message(f"e{i}", "2024-01-01T00:00:00") for i in range(40)])
+    query = ingest(spark, folder, cap=1, unique_within="10 minutes")
+    dropped = sum(
+        int(s["customMetrics"].get("numDroppedDuplicateRows", 0)) for p in query.recentProgress for s in p["stateOperators"]
+    )
+    assert dropped == 40 and len(stored_ids(spark, folder)) == 40
+
+
 def test_duplicates_within_and_across_batches(spark):
     folder = fresh_folder(spark, "t")
     send(spark, f"{folder}/in", *[message("hot", "2024-01-01T00:00:00")] * 500, message("b", "2024-01-01T00:01:00"))

@@ -16,7 +16,7 @@ from clickloom.functions.aggregates import money_sum
 from clickloom.functions.predicates import in_window
 from clickloom.functions.times import iso_text, live_start, window_start
 from clickloom.operators import log, metrics, shaping
-from clickloom.sources.fixtures import fixture_events, fixture_stream, latest_second
+from clickloom.sources.fixtures import fixture_events, latest_second
 from clickloom.sources.messages import decode, encode, normalize, split_malformed
 from clickloom.sources.scratch import fresh_folder
 from clickloom.sources.streams import read_message_files
@@ -257,23 +257,28 @@ def _dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(read_events(spark, f"{folder}/table"))
 
 
-def _live_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _live_counts(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Count over several batches and a restart, older events after newer ones; (folder, query id)."""
     folder = fresh_folder(spark, "live")
-    states = live.live_minutes(fixture_stream(spark, sf_dir))
-    live.start_state_sink(
-        states, f"{folder}/state", f"{folder}/checkpoint", "update", every=None
-    ).awaitTermination()
-    minutes = live.latest_states(spark, f"{folder}/state", "bucket")
+    events = fixture_events(spark, sf_dir, with_category=False, whole_seconds=False)
+    query_id = ""
+    for parts in ((F.col("price") >= 70, (F.col("price") >= 40) & (F.col("price") < 70)), (F.col("price") < 40,)):
+        for part in parts:
+            encode(events.where(part)).write.mode("append").text(f"{folder}/in")
+        stream = normalize(decode(read_message_files(spark, f"{folder}/in", max_files_per_trigger=1)))
+        query = live.start_live_counts(stream, f"{folder}/counts", f"{folder}/checkpoint", every=None)
+        query.awaitTermination()
+        query_id = str(query.id)
+    return f"{folder}/counts", query_id
+
+
+def _live_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minutes = live.live_minutes(spark, *_live_counts(spark, sf_dir))
     return minutes.withColumn("bucket", iso_text(F.col("bucket")))
 
 
 def _running_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = fresh_folder(spark, "funnel")
-    states = live.running_funnel(fixture_stream(spark, sf_dir))
-    live.start_state_sink(
-        states, f"{folder}/state", f"{folder}/checkpoint", "complete", every=None
-    ).awaitTermination()
-    return live.latest_states(spark, f"{folder}/state")
+    return live.running_funnel(spark, *_live_counts(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {

@@ -70,9 +70,3 @@ def fixture_events(
     if with_category:
         categories = spark.read.schema(RAW_PARTS_DDL).parquet(f"{sf_dir}/part.parquet")
     return bind_columns(raw, categories, whole_seconds)
-
-
-def fixture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows as a stream, without categories, timed as TIMESTAMP so that they can be watermarked."""
-    files = use_utc(spark).readStream.schema(RAW_EVENTS_DDL).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return bind_columns(files, None).withColumn("timestamp", F.col("timestamp").cast("timestamp"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import metrics
 from clickloom.sources.fixtures import fixture_events, latest_second
-from clickloom.sources.messages import decode, encode
+from clickloom.sources.messages import decode, encode, normalize
 from clickloom.sources.scratch import fresh_folder
 from clickloom.sources.streams import kafka_options, read_kafka, read_message_files
 from clickloom.sources.table import batch_counts, read_events, read_table
@@ -164,37 +164,45 @@ def test_duplicates_after_a_crash(spark):
     assert stored_ids(spark, folder) == ["", "", ""] + [f"e{i}" for i in range(10)]
 
 
-def test_live_minutes_accept_late_rows_and_report_too_late_ones(spark):
+def count_live(spark, folder, checkpoint="checkpoint"):
+    stream = normalize(decode(read_message_files(spark, f"{folder}/in", 1)))
+    query = live.start_live_counts(stream, f"{folder}/counts", f"{folder}/{checkpoint}", every=None)
+    query.awaitTermination()
+    return f"{folder}/counts", str(query.id)
+
+
+def test_live_minutes_count_late_rows(spark):
     folder = fresh_folder(spark, "t")
     batches = [
         [message("a", "2024-01-01T10:00:00"), message("b", "2024-01-01T10:20:30", "purchase")],
         [message("late", "2024-01-01T10:15:00"), message("b2", "2024-01-01T10:20:40")],
-        [message("too late", "2024-01-01T09:00:00"), message("z", "2024-01-01T10:21:00", "other")],
+        [message("very late", "2023-12-30T09:00:00"), message("z", "2024-01-01T10:21:00", "other")],
     ]
-    dropped = 0
     for lines in batches:
         send(spark, f"{folder}/in", *lines)
-        states = live.live_minutes(decode(read_message_files(spark, f"{folder}/in")))
-        query = live.start_state_sink(states, f"{folder}/state", f"{folder}/checkpoint", "update", every=None)
-        query.awaitTermination()
-        dropped += live.late_rows(query)
-    minutes = live.latest_states(spark, f"{folder}/state", "bucket").orderBy("bucket").collect()
-    assert [(r.bucket.strftime("%H:%M"), r.views, r.purchases, r.total) for r in minutes] == [
-        ("10:00", 1, 0, 1), ("10:15", 1, 0, 1), ("10:20", 1, 1, 2), ("10:21", 0, 0, 1),
+        counted = count_live(spark, folder)
+    minutes = live.live_minutes(spark, *counted).orderBy("bucket").collect()
+    assert [(r.bucket.strftime("%d %H:%M"), r.views, r.purchases, r.total) for r in minutes] == [
+        ("30 09:00", 1, 0, 1), ("01 10:00", 1, 0, 1), ("01 10:15", 1, 0, 1), ("01 10:20", 1, 1, 2), ("01 10:21", 0, 0, 1),
     ]
-    assert dropped == 1
+    recent = live.live_minutes(spark, *counted, since="2024-01-01")
+    assert recent.count() == 4
+    assert "day" in recent._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
 
 
-def test_running_funnel_over_batches(spark):
+def test_running_funnel_over_batches_and_checkpoints(spark):
     folder = fresh_folder(spark, "t")
-    def run(*lines):
-        send(spark, f"{folder}/in", *lines)
-        states = live.running_funnel(decode(read_message_files(spark, f"{folder}/in")))
-        live.start_state_sink(states, f"{folder}/state", f"{folder}/c", "complete", every=None).awaitTermination()
-        return tuple(live.latest_states(spark, f"{folder}/state").first())
+
+    def run(*lines, checkpoint="c"):
+        if lines:
+            send(spark, f"{folder}/in", *lines)
+        return tuple(live.running_funnel(spark, *count_live(spark, folder, checkpoint)).first())
 
     assert run(message("p", "2024-01-01T10:00:00", "purchase")) == (0, 0, 0, 1, 100.0)
     assert run(*[message(f"v{i}", "2024-01-01T10:00:00") for i in range(4)]) == (4, 0, 0, 1, 25.0)
+    # A new checkpoint counts anew, from the first message on.
+    assert run(message("w", "2024-01-01T10:00:00"), checkpoint="new") == (5, 0, 0, 1, 20.0)
+    assert run() == (5, 0, 0, 1, 20.0)
 
 
 def test_kafka_options(spark):
@@ -222,7 +230,7 @@ def test_default_trigger(spark):
 
 def test_stream_plans_aggregate_before_the_shuffle(spark):
     events = fixture_events(spark, SF_DIR).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    plan = live.live_minutes(events)._jdf.queryExecution().executedPlan().toString()
+    plan = live.minute_counts(events)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Exchange") < plan.index("partial_count")
 
 

@@ -23,7 +23,9 @@ BUCKETS = 64
 
 def digest(text: Column) -> Column:
     """SHA-256 of the text in UTF-8; null counts as empty."""
-    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+    hashed = F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+    # Never null, and declared so: joins then need no filter and can share a shuffle of the rows.
+    return F.coalesce(hashed, F.lit(b""))
 
 
 class DigestIndex:

@@ -11,6 +11,8 @@ further spans. All of it is built-in functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,22 +68,30 @@ def spans_of(text: Column, form: str, trigger: str = "") -> Column:
     empty = F.array().cast("array<string>")
     values = F.when(has, F.regexp_extract_all(text, F.lit(form), F.lit(0))).otherwise(empty)
     gaps = F.when(has, F.split(text, form, -1)).otherwise(empty)
-    pairs = F.transform(
-        values,
-        lambda value, i: F.struct(
-            value.alias("value"), F.length(value).alias("size"),
-            F.length(F.get(gaps, i)).alias("gap"), F.substring(F.get(gaps, i), -REACH, REACH).alias("before"),
+    # One gap more than matches: the last pair has no match and goes.
+    pairs = F.zip_with(
+        values, gaps,
+        lambda value, gap: F.struct(
+            value.alias("value"), F.length(value).alias("size"), F.length(gap).alias("gap"),
+            F.substring(gap, -REACH, REACH).alias("before"),
         ),
     )
-    return F.when(F.size(values) > 0, _placed(pairs)).otherwise(
-        F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
-    )
+    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
+    return _let(pairs, lambda p: F.when(F.size(p) > 1, _placed(F.slice(p, F.lit(1), F.size(p) - 1))).otherwise(none))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value computed once, however often and wherever the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _placed(pairs: Column) -> Column:
     """Running sums of gaps and sizes, in blocks, so that many matches take few array copies."""
-    blocks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _BLOCK).cast("int"))
-    sliced = F.transform(blocks, lambda b: F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def cut(p: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int"))
+        return F.transform(blocks, lambda b: F.slice(p, b * _BLOCK + 1, F.lit(_BLOCK)))
+
     kind = "array<struct<start:int,end:int,value:string,before:string>>"
 
     def inside(block: Column) -> Column:
@@ -97,7 +107,11 @@ def _placed(pairs: Column) -> Column:
 
         return F.aggregate(block, start, step)
 
-    done = F.transform(sliced, inside)
+    return _let(F.transform(_let(pairs, cut), inside), _joined)
+
+
+def _joined(done: Column) -> Column:
+    """The blocks' spans in one array, each block moved behind those before it."""
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offsets"))
     offsets = F.aggregate(
         done, zero,
@@ -125,15 +139,16 @@ def _digits(value: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether the last digit checks the others: every second from the right doubled, nines cast out."""
-    places = F.sequence(F.lit(1), F.length(digits))
-    backwards = F.reverse(digits)
 
-    def worth(place: Column) -> Column:
-        digit = F.substring(backwards, place, F.lit(1)).cast("int")
-        twice = digit * 2
-        return F.when(place % 2 == 1, digit).when(twice > 9, twice - 9).otherwise(twice)
+    def total(backwards: Column) -> Column:
+        def add(state: Column, place: Column) -> Column:
+            digit = F.substring(backwards, place, F.lit(1)).cast("int")
+            twice = digit * 2
+            return state + F.when(place % 2 == 1, digit).when(twice > 9, twice - 9).otherwise(twice)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(backwards)), F.lit(0), add)
 
-    return F.aggregate(F.transform(places, worth), F.lit(0), lambda total, x: total + x) % 10 == 0
+    return _let(F.reverse(digits), total) % 10 == 0
 
 
 def proven(text: Column, kind: str) -> Column:

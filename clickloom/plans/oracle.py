@@ -153,6 +153,9 @@ ORACLE: dict[str, str] = {
     "user_events_u42": f"""{_EVENTS}
         SELECT event_id, event_type, product_id, price, {_ISO.format('ts')} AS timestamp, category
         FROM bound WHERE user_id = 'u_42' AND {_since('7 DAY')} ORDER BY ts, event_id LIMIT 200""",
+    "user_events_limited": f"""{_EVENTS}
+        SELECT event_id, event_type, product_id, price, {_ISO.format('ts')} AS timestamp, category
+        FROM bound WHERE user_id = 'u_42' AND {_since('30 DAY')} ORDER BY ts, event_id LIMIT 5""",
     "user_summaries_30d": f"""{_EVENTS}
         SELECT user_id, {_USER_TOTALS} FROM bound WHERE {_since('30 DAY')} GROUP BY user_id""",
     "revenue_hour_7d": _revenue("7 DAY", "hour"),
@@ -259,3 +262,19 @@ ORACLE: dict[str, str] = {
     "running_funnel": f"""{_EVENTS}, totals AS (SELECT {_STAGES} FROM bound)
         SELECT *, purchases / greatest(views, 1) * 100 AS cvr_pct FROM totals""",
 }
+
+# The same questions to the stored table of two months.
+_STORED = _EVENTS.replace("WITH bound AS (", "WITH present AS (").replace(
+    "clock AS (",
+    "bound AS (SELECT * FROM present UNION ALL SELECT * REPLACE ("
+    "'old-' || event_id AS event_id, ts - INTERVAL 30 DAY AS ts) FROM present),\nclock AS (",
+)
+
+for _report, _same in {
+    "events": "events_page", "overview": "overview_30d", "funnel": "funnel_30d",
+    "timeseries": "timeseries_hour_24h", "top_products": "top_products_revenue", "top_categories": "top_categories_30d",
+    "user_summary": "user_summary_u42", "user_events": "user_events_u42", "revenue": "revenue_hour_7d",
+    "revenue_totals": "revenue_totals_30d", "realtime": "realtime",
+}.items():
+    ORACLE[f"report_{_report}"] = ORACLE[_same].replace(_EVENTS, _STORED)
+ORACLE["report_health"] = f"{_STORED} SELECT count(*) AS total_events FROM bound"

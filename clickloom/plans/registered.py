@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions.aggregates import money_sum
 from clickloom.functions.predicates import in_window
 from clickloom.functions.times import iso_text, live_start, window_start
 from clickloom.operators import log, metrics, shaping
+from clickloom.plans.reports import Reports
 from clickloom.sources.fixtures import fixture_events, latest_second
-from clickloom.sources.messages import decode, encode, normalize, split_malformed
+from clickloom.sources.messages import decode, encode, is_valid, normalize
 from clickloom.sources.scratch import fresh_folder
 from clickloom.sources.streams import read_message_files
 from clickloom.sources.table import batch_counts, read_events, write_events
@@ -159,17 +160,19 @@ def _malformed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("value"))
         .alias("value")
     )
-    valid, malformed = split_malformed(decode(damaged))
+    flagged = decode(damaged).withColumn("valid", is_valid())
 
-    def summed(part: DataFrame, name: str) -> DataFrame:
-        return part.agg(
+    def summed(name: str, inside: str) -> Column:
+        return F.struct(
             F.lit(name).alias("part"),
-            F.count("*").alias("row_count"),
-            F.count("event_id").alias("with_id"),
-            money_sum("price").alias("price"),
+            F.expr(f"count_if({inside}) AS row_count"),
+            F.expr(f"count_if({inside} AND event_id IS NOT NULL) AS with_id"),
+            money_sum(f"CASE WHEN {inside} THEN price END").alias("price"),
         )
 
-    return summed(valid, "valid").unionAll(summed(malformed, "malformed"))
+    # Both parts from one pass over the messages.
+    parts = F.array(summed("valid", "valid"), summed("malformed", "NOT valid"))
+    return flagged.agg(parts.alias("parts")).select(F.inline("parts"))
 
 
 def _table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +188,22 @@ def _table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _report(ask: Callable[[Reports], DataFrame]) -> Query:
+    """A report over a stored table of two months: the fixture, and once more 30 days earlier."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = fresh_folder(spark, "report")
+        events = fixture_events(spark, sf_dir)
+        earlier = events.withColumns({
+            "event_id": F.concat(F.lit("old-"), "event_id"),
+            "timestamp": F.expr("timestamp - INTERVAL '30' DAY"),
+        })
+        write_events(events.unionByName(earlier), folder, ingest_id="report")
+        return ask(Reports(spark, folder, as_of=latest_second(spark, sf_dir)))
+
+    return run
+
+
 # --- streams ----------------------------------------------------------------
 
 def _ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,6 +316,9 @@ QUERIES: dict[str, Query] = {
     "top_categories_30d": _CATEGORIES,
     "user_summary_u42": _windowed(log.user_summary, "7d", user_id="u_42", raw_user=42),
     "user_events_u42": _windowed(log.user_events, "7d", with_category=True, user_id="u_42", raw_user=42),
+    "user_events_limited": _windowed(
+        log.user_events, "30d", with_category=True, user_id="u_42", raw_user=42, limit=5,
+    ),
     "user_summaries_30d": _windowed(log.user_summaries, "30d"),
     "revenue_hour_7d": _windowed(metrics.revenue, "7d", bucket="hour"),
     "revenue_day_30d": _windowed(metrics.revenue, "30d", bucket="day"),
@@ -325,6 +347,18 @@ QUERIES: dict[str, Query] = {
     "decode_normalize": _decode_normalize,
     "malformed_split": _malformed_split,
     "table_roundtrip_month": _table_roundtrip,
+    "report_health": _report(lambda r: r.health()),
+    "report_events": _report(lambda r: r.events("30d", limit=20, offset=20)),
+    "report_overview": _report(lambda r: r.overview("30d")),
+    "report_funnel": _report(lambda r: r.funnel("30d")),
+    "report_timeseries": _report(lambda r: r.timeseries("24h")),
+    "report_top_products": _report(lambda r: r.top_products("30d")),
+    "report_top_categories": _report(lambda r: r.top_categories("30d")),
+    "report_user_summary": _report(lambda r: r.user("u_42")[0]),
+    "report_user_events": _report(lambda r: r.user("u_42")[1]),
+    "report_revenue": _report(lambda r: r.revenue("7d")[1]),
+    "report_revenue_totals": _report(lambda r: r.revenue("30d")[0]),
+    "report_realtime": _report(lambda r: r.realtime()[1]),
     "ingest_stream": _ingest_stream,
     "recovery_stream": _recovery_stream,
     "table_by_name": _table_by_name,

@@ -31,7 +31,8 @@ def normalize(events: DataFrame) -> DataFrame:
     return events.withColumns(stored)
 
 
-def _is_valid() -> Column:
+def is_valid() -> Column:
+    """Whether a decoded row has what an event cannot do without; usable as a flag in one pass."""
     valid = F.lit(True)
     for name in REQUIRED:
         valid = valid & F.col(name).isNotNull()
@@ -40,7 +41,7 @@ def _is_valid() -> Column:
 
 def split_malformed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, malformed) parts of a decoded, not yet normalised frame."""
-    return events.where(_is_valid()), events.where(~_is_valid())
+    return events.where(is_valid()), events.where(~is_valid())
 
 
 def encode(events: DataFrame) -> DataFrame:

@@ -78,3 +78,27 @@ def test_messages_are_parsed_once(spark):
     messages = spark.createDataFrame([("{}",)], "value STRING")
     for frame in (normalize(decode(messages)), *split_malformed(decode(messages))):
         assert plan_of(frame).count("from_json") == 1
+
+
+@pytest.mark.parametrize("name,columns", [
+    ("report_overview", "event_type:string,user_id:string,price:double,timestamp:timestamp_ntz"),
+    ("report_revenue", "event_type:string,price:double,timestamp:timestamp_ntz"),
+    ("report_user_events", None),
+])
+def test_reports_prune_by_themselves(spark, name, columns):
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
+    partitions = plan.split("PartitionFilters: [")[1].split("]")[0]
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "event_month" in partitions and "GreaterThanOrEqual(timestamp," in pushed
+    if columns is None:
+        assert "EqualTo(user_id,u_42)" in pushed
+    else:
+        assert f"ReadSchema: struct<{columns}>" in plan
+
+
+def test_deep_pages_number_no_more_than_few_groups_in_one_task(spark):
+    plan = plan_of(QUERIES["events_deep_page"](spark, SF_DIR))
+    assert "Python" not in plan and "CartesianProduct" not in plan
+    for line in plan.splitlines():
+        if "Window [" in line and "row_number" in line:
+            assert "timestamp" in line and "lead" in line

@@ -20,8 +20,8 @@ WITHIN_SECOND = ("event_id", "user_id", "product_id", "event_type", "price", "ca
 
 # A top list of so many rows costs less than counting first; both ways give the same page.
 TOP_LIST_ROWS = 2_000
-# A crowded second is split by so many characters behind what all its ids begin with.
-LEAD_CHARACTERS = 4
+# An hour the page touches is split at about so many of its own rows, but not finer than one in RARELY.
+SPLITTERS, RARELY = 1_023, 4_096
 
 
 def event_total(events: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _touched(groups: DataFrame, order: WindowSpec, limit: int, offset: int) -> D
     """
     ahead = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     placed = groups.withColumn("before", F.col("before") + F.coalesce(ahead, F.lit(0)))
-    return placed.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).drop("n")
+    return placed.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset))
 
 
 def _within(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
@@ -130,50 +130,55 @@ def _within(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
     return rows.join(small, same).drop(*[f"of_{key}" for key in keys])
 
 
-def _shared_start(low: str, high: str) -> Column:
-    """Length of what two texts, and all texts between them, begin with."""
+def _slot() -> Column:
+    """How many of the sorted ``splitters`` lie before a row's ``place``, by binary search."""
+    steps = ", ".join(str(1 << bit) for bit in reversed(range(SPLITTERS.bit_length() + 1)))
     return F.expr(
-        f"aggregate(sequence(1, greatest(1, least(length({low}), length({high})))), 0, "
-        f"(n, i) -> CASE WHEN n = i - 1 AND substring({low}, i, 1) = substring({high}, i, 1) "
-        f"AND i <= length({low}) THEN i ELSE n END)"
+        f"aggregate(array({steps}), 0, (n, step) -> "
+        "CASE WHEN get(splitters, n + step - 1) < place THEN n + step ELSE n END)"
     )
 
 
 def deep_page(kept: DataFrame, limit: int, offset: int) -> DataFrame:
     """Page ``offset`` rows into the log, without sorting the rows in front of it.
 
-    Row counts say where the page lies: counts per hour, of which a window has
-    few, then per second of the hours the page touches, then, in the seconds it
-    touches, per leading characters of event_id behind what the second's ids
-    have in common, so that a crowded second is not sorted in one task. Only
-    rows of the groups left after that are numbered. Null ids come first, and
+    Row counts say where the page lies: first per hour, of which a window has
+    few, then, in the hours it touches, between splitters. These are rows of the
+    hour, chosen by a hash of their content and so the same whenever asked for,
+    and compared in the log's whole order; whatever times and ids a crowded hour
+    has, it falls into parts of about equal size. Of the parts the page touches,
+    equal rows are counted before they are numbered. Null ids come first, and
     null times last, as in the sorted log.
     """
     in_range("limit", limit, *LOG_LIMIT)
     in_range("offset", offset, 0)
-    rows = kept.withColumn("hour", F.date_trunc("hour", "timestamp"))
-    counted = rows.groupBy("hour").agg(F.count("*").alias("n")).withColumn("before", F.lit(0).cast("bigint"))
-    hours = _touched(counted, Window.orderBy(F.desc("hour")), limit, offset)
-    seconds = _touched(
-        _within(rows, hours, "hour").groupBy("hour", "timestamp").agg(
-            F.count("*").alias("n"), F.first("before").alias("before"),
-            F.min("event_id").alias("low"), F.max("event_id").alias("high"),
-        ),
-        Window.partitionBy("hour").orderBy(F.desc("timestamp")), limit, offset,
+    # Newer is less; the time is null only in the hour that is null as well.
+    place = F.struct((-F.unix_micros(F.col("timestamp").cast("timestamp"))).alias("age"), *WITHIN_SECOND)
+    rows = kept.withColumns({"hour": F.date_trunc("hour", "timestamp"), "place": place})
+    counted = rows.groupBy("hour").agg(F.count("*").alias("n"))
+    # At least one row of an hour the page touches is on the page, and all but two such hours are on it whole.
+    hours = _touched(
+        counted.withColumn("before", F.lit(0).cast("bigint")), Window.orderBy(F.desc("hour")), limit, offset
     )
-    seconds = seconds.withColumn("start", _shared_start("low", "high")).drop("hour", "low", "high")
-    lead = F.substring("event_id", F.coalesce("start", F.lit(0)) + F.lit(1), F.lit(LEAD_CHARACTERS))
-    near = _within(rows, seconds, "timestamp").withColumn("lead", lead)
-    leads = _touched(
-        near.groupBy("timestamp", "lead").agg(F.count("*").alias("n"), F.first("before").alias("before")),
-        Window.partitionBy("timestamp").orderBy("lead"), limit, offset,
-    )
-    numbered = _within(near.drop("before"), leads, "timestamp", "lead").withColumn(
-        "position",
-        F.col("before") + F.row_number().over(Window.partitionBy("timestamp", "lead").orderBy(*WITHIN_SECOND)),
+    chosen = F.expr(f"pmod(xxhash64(place), greatest(n div {SPLITTERS}, {RARELY})) = 0")
+    splitters = F.array_sort(F.collect_set(F.when(chosen, F.col("place")))).alias("splitters")
+    hours = _within(rows, hours, "hour").groupBy("hour").agg(F.first("before").alias("before"), splitters)
+    near = _within(rows, hours, "hour").withColumn("slot", _slot()).drop("splitters", "place")
+    slots = _touched(
+        near.groupBy("hour", "slot").agg(F.count("*").alias("n"), F.first("before").alias("before")),
+        Window.partitionBy("hour").orderBy("slot"), limit, offset,
+    ).drop("n")
+    alike = (
+        _within(near.drop("before"), slots, "hour", "slot")
+        .groupBy("hour", "slot", "before", *EVENT_COLUMNS).agg(F.count("*").alias("n"))
     )
+    in_slot = Window.partitionBy("hour", "slot").orderBy(F.desc("timestamp"), *WITHIN_SECOND)
+    # Copies of one row follow each other, so only those on the page are made.
+    first = F.greatest(F.col("before") + 1, F.lit(offset + 1).cast("bigint"))
+    last = F.least(F.col("before") + F.col("n"), F.lit(offset + limit).cast("bigint"))
     return (
-        numbered.where((F.col("position") > offset) & (F.col("position") <= offset + limit))
+        _touched(alike, in_slot, limit, offset)
+        .withColumn("position", F.explode(F.sequence(first, last)))
         .orderBy("position")
         .select(*EVENT_COLUMNS)
     )

@@ -38,12 +38,32 @@ def test_limits_are_checked(crowded):
             log.deep_page(crowded, limit, offset)
 
 
-def test_a_crowded_second_is_split_behind_what_its_ids_share(spark):
-    rows = [(f"evt-2024-{i:05d}", "view", "u", "p", 1.0, AS_OF, "c", "ip") for i in range(3000)]
+@pytest.mark.parametrize("make_id", ["concat('evt-2024-', lpad(id, 9, '0'))", "repeat('x', id % 3000)", "'same'", "NULL"])
+def test_a_crowded_second_is_split_whatever_its_ids(spark, monkeypatch, make_id):
+    monkeypatch.setattr(log, "RARELY", 16)
+    frame = spark.range(3000).select(
+        F.expr(make_id).cast("string").alias("event_id"), F.lit("view").alias("event_type"),
+        F.expr("concat('u_', lpad(id % 2900, 5, '0'))").alias("user_id"), F.lit("p").alias("product_id"),
+        F.lit(1.0).alias("price"), F.lit(AS_OF).cast("timestamp_ntz").alias("timestamp"), F.lit("c").alias("category"),
+        F.lit("ip").alias("ip_address"),
+    )
+    whole = keys(frame.orderBy("event_id", "user_id"))
+    assert keys(log.deep_page(frame, 10, 2500)) == whole[2500:2510]
+    assert keys(log.deep_page(frame, 1000, 1700)) == whole[1700:2700]
+
+
+def test_copies_of_one_event_fill_pages(spark):
+    row = ("e", "view", "u", "p", 1.0, AS_OF, "c", "ip")
+    frame = spark.createDataFrame([row] * 2000 + [(None, *row[1:])], SCHEMA)
+    assert len(keys(log.deep_page(frame, 1000, 1500))) == 501
+    assert keys(log.deep_page(frame, 2, 0)) == [(str(AS_OF), None, "u"), (str(AS_OF), "e", "u")]
+
+
+def test_events_without_a_time_come_last(spark):
+    rows = [(f"e{i}", "view", "u", "p", 1.0, AS_OF if i % 2 else None, "c", "ip") for i in range(100)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    assert keys(log.deep_page(frame, 10, 2500)) == [(str(AS_OF), f"evt-2024-{i:05d}", "u") for i in range(2500, 2510)]
-    start = frame.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).select(log._shared_start("low", "high"))
-    assert start.first()[0] == len("evt-2024-0")
+    whole = keys(frame.orderBy(F.desc("timestamp"), "event_id"))
+    assert keys(log.deep_page(frame, 40, 30)) == whole[30:70]
 
 
 def test_list_events_switches_over(crowded, monkeypatch):

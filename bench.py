@@ -25,7 +25,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = 3
 STREAM_RUNS = 1
 STREAMS = {
-    "ingest_stream", "recovery_stream", "batch_counts", "rate_capped_ingest",
+    "ingest_stream", "quarantine_stream", "recovery_stream", "batch_counts", "rate_capped_ingest",
     "dedup_stream", "table_by_name", "live_minutes", "running_funnel",
 }
 

@@ -29,10 +29,16 @@ def in_window(
     return kept
 
 
-def in_live_window(events: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:
-    """Rows of the last minutes before ``as_of``, and any stamped later."""
+def in_live_window(
+    events: DataFrame, as_of: Column | datetime | None = None, bounded: bool = False
+) -> DataFrame:
+    """Rows of the last minutes before ``as_of``; any stamped later too, unless ``bounded``."""
     require_utc(events.sparkSession)
-    return events.where(F.col("timestamp") >= live_start(as_of, is_zoneless(events)))
+    zoneless = is_zoneless(events)
+    kept = events.where(F.col("timestamp") >= live_start(as_of, zoneless))
+    if bounded:
+        kept = kept.where(F.col("timestamp") <= as_of_column(as_of, zoneless))
+    return kept
 
 
 def equal_to(events: DataFrame, **wanted: str | None) -> DataFrame:

@@ -216,27 +216,27 @@ def revenue_totals(events: DataFrame, window: str = "24h", as_of: AsOf = None, b
     )
 
 
-def _live_minutes(events: DataFrame, as_of: AsOf) -> DataFrame:
+def _live_minutes(events: DataFrame, as_of: AsOf, bounded: bool) -> DataFrame:
     return (
-        in_live_window(events, as_of)
+        in_live_window(events, as_of, bounded)
         .groupBy(bucket_start("minute", events).alias("bucket"))
         .agg(*stage_counts(), F.count("*").alias("total"))
     )
 
 
-def realtime(events: DataFrame, as_of: AsOf = None) -> DataFrame:
+def realtime(events: DataFrame, as_of: AsOf = None, bounded: bool = False) -> DataFrame:
     """Stage counts per minute over the live window."""
-    return _live_minutes(events, as_of).orderBy("bucket").withColumn("bucket", iso_text(F.col("bucket")))
+    return _live_minutes(events, as_of, bounded).orderBy("bucket").withColumn("bucket", iso_text(F.col("bucket")))
 
 
-def events_per_sec(events: DataFrame, as_of: AsOf = None) -> DataFrame:
+def events_per_sec(events: DataFrame, as_of: AsOf = None, bounded: bool = False) -> DataFrame:
     """Events per second in the latest live minute; 0.0 when there is none."""
-    latest = _live_minutes(events, as_of).agg(F.max_by("total", "bucket").alias("total"))
+    latest = _live_minutes(events, as_of, bounded).agg(F.max_by("total", "bucket").alias("total"))
     rate = latest.select((F.coalesce("total", F.lit(0)) / F.lit(60.0)).alias("rate"))
     return rate.select(round_cents("rate").alias("events_per_sec"))
 
 
-def last_minute_total(events: DataFrame, as_of: AsOf = None) -> DataFrame:
+def last_minute_total(events: DataFrame, as_of: AsOf = None, bounded: bool = False) -> DataFrame:
     """Event count of the latest live minute; 0 when there is none."""
-    latest = _live_minutes(events, as_of).agg(F.max_by("total", "bucket").alias("total"))
+    latest = _live_minutes(events, as_of, bounded).agg(F.max_by("total", "bucket").alias("total"))
     return latest.select(F.coalesce("total", F.lit(0)).alias("last_minute_total"))

@@ -169,6 +169,12 @@ ORACLE: dict[str, str] = {
         FROM totals""",
     "realtime": f"""{_LIVE}
         SELECT {_ISO.format('b')} AS bucket, views, clicks, carts, purchases, total FROM live""",
+    "realtime_bounded": f"""{_EVENTS}, past AS (
+        SELECT max(ts) AS moment FROM bound WHERE ts < (SELECT as_of - INTERVAL 1 HOUR FROM clock)),
+        live AS (
+            SELECT date_trunc('minute', ts) AS b, {_STAGES}, count(*) AS total FROM bound, past
+            WHERE ts >= moment - INTERVAL 2 MINUTE AND ts <= moment GROUP BY 1)
+        SELECT {_ISO.format('b')} AS bucket, views, clicks, carts, purchases, total FROM live""",
     "events_per_sec": f"""{_LIVE}
         SELECT coalesce(round_even(arg_max(total, b) / 60.0::DOUBLE, 2), 0.0) AS events_per_sec
         FROM live""",
@@ -248,6 +254,10 @@ ORACLE: dict[str, str] = {
         FROM bound
         WHERE date_trunc('month', ts) = (SELECT date_trunc('month', as_of) FROM clock)""",
     "ingest_stream": _WHOLE_TABLE,
+    "quarantine_stream": """
+        SELECT CASE WHEN event_type IN ('error', 'signup', 'click') THEN 'malformed' ELSE 'stored' END AS part,
+               event_type, CAST(event_id AS VARCHAR) AS event_id
+        FROM events""",
     "recovery_stream": _WHOLE_TABLE,
     "batch_counts": """
         SELECT CASE WHEN value < 50 THEN 0 ELSE 1 END::BIGINT AS batch_id, count(*) AS row_count
@@ -273,8 +283,8 @@ _STORED = _EVENTS.replace("WITH bound AS (", "WITH present AS (").replace(
 for _report, _same in {
     "events": "events_page", "overview": "overview_30d", "funnel": "funnel_30d",
     "timeseries": "timeseries_hour_24h", "top_products": "top_products_revenue", "top_categories": "top_categories_30d",
-    "user_summary": "user_summary_u42", "user_events": "user_events_u42", "revenue": "revenue_hour_7d",
-    "revenue_totals": "revenue_totals_30d", "realtime": "realtime",
+    "user_summary": "user_summary_u42", "user_events": "user_events_u42", "users": "user_summaries_30d",
+    "revenue": "revenue_hour_7d", "revenue_totals": "revenue_totals_30d", "realtime": "realtime",
 }.items():
     ORACLE[f"report_{_report}"] = ORACLE[_same].replace(_EVENTS, _STORED)
 ORACLE["report_health"] = f"{_STORED} SELECT count(*) AS total_events FROM bound"

@@ -8,6 +8,7 @@ own, and return what they stored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from clickloom.sources.scratch import fresh_folder
 from clickloom.sources.streams import read_message_files
 from clickloom.sources.table import batch_counts, read_events, write_events
 from clickloom.streaming import live
-from clickloom.streaming.pipeline import start_ingest
+from clickloom.streaming.pipeline import read_quarantine, start_ingest
 from clickloom.vocabulary import PURCHASE, WINDOWS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,12 @@ def _live(operator: Callable[..., DataFrame]) -> Query:
     return run
 
 
+def _realtime_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live minutes as of an event an hour or more ago, to which all later ones lie in the future."""
+    as_of = latest_second(spark, sf_dir, before=latest_second(spark, sf_dir) - timedelta(hours=1))
+    return metrics.realtime(fixture_events(spark, sf_dir, with_category=False), as_of=as_of, bounded=True)
+
+
 def _then(query: Query, shape: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: shape(query(spark, sf_dir))
 
@@ -149,17 +156,20 @@ def _decode_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(normalize(decode(_messages(spark, sf_dir))))
 
 
-def _malformed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of errors lose their first character, those of sign-ups their time."""
-    events = fixture_events(spark, sf_dir, with_category=False)
+def _damaged(events: DataFrame) -> DataFrame:
+    """Messages: those of errors lose their first character, those of sign-ups their time."""
     on_error = F.col("value").contains('"event_type":"error"')
     on_signup = F.col("value").contains('"event_type":"signup"')
-    damaged = encode(events).select(
+    return encode(events).select(
         F.when(on_error, F.expr("substring(value, 2)"))
         .when(on_signup, F.replace("value", F.lit('"timestamp":"'), F.lit('"timestamp":"?')))
         .otherwise(F.col("value"))
         .alias("value")
     )
+
+
+def _malformed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = _damaged(fixture_events(spark, sf_dir, with_category=False))
     flagged = decode(damaged).withColumn("valid", is_valid())
 
     def summed(name: str, inside: str) -> Column:
@@ -214,6 +224,26 @@ def _ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(read_events(spark, f"{folder}/table"))
 
 
+def _quarantine_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged messages, and clicks whose price is no number, are set aside; the rest is stored."""
+    folder = fresh_folder(spark, "quarantine")
+    messages = _damaged(fixture_events(spark, sf_dir, whole_seconds=False)).withColumn("value", F.when(
+        F.col("value").contains('"event_type":"click"'), F.replace("value", F.lit('"price":'), F.lit('"price":"?",":":')),
+    ).otherwise(F.col("value")))
+    for part in (F.crc32("value") % 2 == 0, F.crc32("value") % 2 == 1):
+        messages.where(part).coalesce(1).write.mode("append").text(f"{folder}/in")
+    start_ingest(
+        read_message_files(spark, f"{folder}/in", max_files_per_trigger=1), f"{folder}/table",
+        f"{folder}/checkpoint", every=None, quarantine=f"{folder}/malformed",
+    ).awaitTermination()
+    aside = read_quarantine(spark, f"{folder}/malformed").select(
+        F.lit("malformed").alias("part"), F.regexp_extract("raw", '"event_type":"([a-z]+)"', 1).alias("event_type"),
+        F.regexp_extract("raw", '"event_id":"([0-9]+)"', 1).alias("event_id"),
+    )
+    stored = read_events(spark, f"{folder}/table").select(F.lit("stored").alias("part"), "event_type", "event_id")
+    return stored.unionByName(aside)
+
+
 def _in_two_runs(spark: SparkSession, sf_dir: str, folder: str, name: str | None = None) -> None:
     """Ingest cheap events, then the others from the same checkpoint, then find nothing new."""
     events = fixture_events(spark, sf_dir, whole_seconds=False)
@@ -229,7 +259,7 @@ def _table_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "named")
     name = "events_" + folder.rpartition("-")[2]
     _in_two_runs(spark, sf_dir, folder, name)
-    return _as_text(read_events(spark, name))
+    return _as_text(read_events(spark, name=name))
 
 
 def _recovery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,6 +355,7 @@ QUERIES: dict[str, Query] = {
     "revenue_totals_30d": _windowed(metrics.revenue_totals, "30d"),
     "realtime": _live(metrics.realtime),
     "events_per_sec": _live(metrics.events_per_sec),
+    "realtime_bounded": _realtime_bounded,
     "events_page": _PAGE,
     "events_deep_page": _windowed(log.list_events, "30d", with_category=True, limit=50, offset=5000),
     "events_deep_page_null_ids": _of_all(log.list_events, _some_null_ids, limit=50, offset=5000),
@@ -356,10 +387,12 @@ QUERIES: dict[str, Query] = {
     "report_top_categories": _report(lambda r: r.top_categories("30d")),
     "report_user_summary": _report(lambda r: r.user("u_42")[0]),
     "report_user_events": _report(lambda r: r.user("u_42")[1]),
+    "report_users": _report(lambda r: r.users("30d")),
     "report_revenue": _report(lambda r: r.revenue("7d")[1]),
     "report_revenue_totals": _report(lambda r: r.revenue("30d")[0]),
     "report_realtime": _report(lambda r: r.realtime()[1]),
     "ingest_stream": _ingest_stream,
+    "quarantine_stream": _quarantine_stream,
     "recovery_stream": _recovery_stream,
     "table_by_name": _table_by_name,
     "batch_counts": _batch_counts,

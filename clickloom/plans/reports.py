@@ -17,24 +17,29 @@ from clickloom.vocabulary import WINDOWS
 
 
 class Reports:
-    """Reports over the event table ``source``, a folder or a registered name.
+    """Reports over the event table in ``folder``, or over the one registered as ``name``.
 
     They are as of a fixed moment or, by default, of each call.
     """
 
-    def __init__(self, spark: SparkSession, source: str, as_of: datetime | None = None):
+    def __init__(
+        self, spark: SparkSession, folder: str | None = None, as_of: datetime | None = None, name: str | None = None
+    ):
+        if (folder is None) == (name is None):
+            raise ValueError("give the table's folder or its registered name, and not both")
         self._spark = spark
-        self._source = source
+        self._folder = folder
+        self._name = name
         self._as_of = as_of
 
     def _moment(self) -> datetime:
         return self._as_of or datetime.now(timezone.utc)
 
     def _window(self, window: str, as_of: datetime) -> DataFrame:
-        return read_window(self._spark, self._source, window, as_of)
+        return read_window(self._spark, self._folder, window, as_of, self._name)
 
     def health(self) -> DataFrame:
-        return log.event_total(read_events(self._spark, self._source))
+        return log.event_total(read_events(self._spark, self._folder, name=self._name))
 
     def events(self, window: str = "24h", **page) -> DataFrame:
         """A log page; takes the limit, offset and filters of ``list_events``."""
@@ -73,8 +78,13 @@ class Reports:
         rows = self._window(window, as_of)
         return metrics.revenue_totals(rows, window, as_of), metrics.revenue(rows, window, bucket, as_of)
 
-    def realtime(self) -> tuple[DataFrame, DataFrame]:
+    def users(self, window: str = "7d") -> DataFrame:
+        """The summary of every user."""
+        as_of = self._moment()
+        return log.user_summaries(self._window(window, as_of), window, as_of)
+
+    def realtime(self, bounded: bool = False) -> tuple[DataFrame, DataFrame]:
         """(events per second, minutes)."""
         as_of = self._moment()
         rows = self._window(min(WINDOWS, key=WINDOWS.get), as_of)
-        return metrics.events_per_sec(rows, as_of), metrics.realtime(rows, as_of)
+        return metrics.events_per_sec(rows, as_of, bounded), metrics.realtime(rows, as_of, bounded)

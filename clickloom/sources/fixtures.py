@@ -23,9 +23,12 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return use_utc(spark).read.schema(RAW_EVENTS_DDL).parquet(f"{sf_dir}/events.parquet")
 
 
-def latest_second(spark: SparkSession, sf_dir: str) -> datetime:
-    """The time of the newest event in whole seconds, the ``as_of`` of a replay."""
-    newest = raw_events(spark, sf_dir).agg(F.max("ts")).first()[0]
+def latest_second(spark: SparkSession, sf_dir: str, before: datetime | None = None) -> datetime:
+    """The time of the newest event in whole seconds, the ``as_of`` of a replay; or of the newest ``before`` a time."""
+    events = raw_events(spark, sf_dir)
+    if before is not None:
+        events = events.where(F.col("ts") < F.lit(before).cast("timestamp_ntz"))
+    newest = events.agg(F.max("ts")).first()[0]
     return newest.replace(microsecond=0)
 
 

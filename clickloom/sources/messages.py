@@ -23,6 +23,23 @@ def decode(messages: DataFrame) -> DataFrame:
     return messages.select(F.inline(F.array(event)))
 
 
+def decode_flagged(messages: DataFrame) -> DataFrame:
+    """Event columns, ``raw``, the message's text, and ``valid``, whether it is a usable event.
+
+    It is if it has an id and a time and all its fields can be read: unlike in
+    ``decode``, a price that is there but no number makes it malformed, whereas
+    a missing one does not. A malformed message has no event_id, so that it is
+    never taken for a copy of a good one.
+    """
+    text = F.col("value").cast("string")
+    event = F.from_json(text, f"{EVENT_DDL}, unreadable STRING", {"columnNameOfCorruptRecord": "unreadable"})
+    # The text is in both columns only while the row is in memory; one pass, parsed once.
+    decoded = messages.select(text.alias("raw"), F.inline(F.array(event)))
+    valid = F.coalesce(is_valid() & F.col("unreadable").isNull(), F.lit(False))
+    flagged = decoded.withColumn("valid", valid).withColumn("event_id", F.when(F.col("valid"), F.col("event_id")))
+    return flagged.select(*EVENT_COLUMNS, "raw", "valid")
+
+
 def normalize(events: DataFrame) -> DataFrame:
     """Stored form: whole seconds, and defaults in place of nulls."""
     stored = {name: F.coalesce(name, F.lit("")) for name in EVENT_COLUMNS}

@@ -95,26 +95,29 @@ def write_events(events: DataFrame, path: str, ingest_id: str, batch_id: int = 0
     )
 
 
-def read_table(spark: SparkSession, source: str) -> DataFrame:
-    """All columns, with the partition columns, of a folder or a registered table.
+def read_table(spark: SparkSession, folder: str | None = None, name: str | None = None) -> DataFrame:
+    """All columns, with the partition columns, of the table in a folder or of a registered name.
 
-    A folder has a ``/`` in it. Its schema is given, so no file is opened to infer it.
+    A folder's schema is given, so no file is opened to infer it.
     """
-    return spark.read.schema(TABLE_DDL).parquet(source) if "/" in source else spark.table(source)
+    if (folder is None) == (name is None):
+        raise ValueError("give the table's folder or its registered name, and not both")
+    return spark.table(name) if folder is None else spark.read.schema(TABLE_DDL).parquet(folder)
 
 
 def read_events(
     spark: SparkSession,
-    source: str,
+    folder: str | None = None,
     since: Column | datetime | None = None,
     until: Column | datetime | None = None,
+    name: str | None = None,
 ) -> DataFrame:
     """Events of a time range, both ends included.
 
     The month predicate is derived from the range, because the planner does
     not know that the month follows from the timestamp.
     """
-    rows = read_table(spark, source)
+    rows = read_table(spark, folder, name)
     if since is not None:
         start = as_of_column(since, zoneless=True)
         rows = rows.where((F.col("event_month") >= month_key(start)) & (F.col("timestamp") >= start))
@@ -124,11 +127,17 @@ def read_events(
     return rows.select(*EVENT_COLUMNS)
 
 
-def read_window(spark: SparkSession, source: str, window: str, as_of: Column | datetime | None = None) -> DataFrame:
+def read_window(
+    spark: SparkSession,
+    folder: str | None,
+    window: str,
+    as_of: Column | datetime | None = None,
+    name: str | None = None,
+) -> DataFrame:
     """Events that the operators' ``window`` before ``as_of`` can reach."""
-    return read_events(spark, source, since=window_start(window, as_of, zoneless=True))
+    return read_events(spark, folder, since=window_start(window, as_of, zoneless=True), name=name)
 
 
-def batch_counts(spark: SparkSession, source: str) -> DataFrame:
+def batch_counts(spark: SparkSession, folder: str | None = None, name: str | None = None) -> DataFrame:
     """Stored rows per batch, from the partition columns and the files' row counts alone."""
-    return read_table(spark, source).groupBy("ingest_id", "batch_id").agg(F.count("*").alias("row_count"))
+    return read_table(spark, folder, name).groupBy("ingest_id", "batch_id").agg(F.count("*").alias("row_count"))

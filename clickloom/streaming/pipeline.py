@@ -6,18 +6,20 @@ import logging
 import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from clickloom.functions.times import month_key
-from clickloom.sources.messages import decode, normalize
+from clickloom.sources.messages import decode, decode_flagged, normalize
 from clickloom.sources.table import add_partitions, create_events_table, define_events_table, write_events
 from clickloom.streaming.dedup import suppress_duplicates
 
 log = logging.getLogger(__name__)
 
 TRIGGER = "10 seconds"
+QUARANTINE_DDL = "raw STRING, ingest_id STRING, batch_id BIGINT"
 
 
 def with_trigger(writer: DataStreamWriter, every: str | None = TRIGGER) -> DataStreamWriter:
@@ -25,6 +27,21 @@ def with_trigger(writer: DataStreamWriter, every: str | None = TRIGGER) -> DataS
     return writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
 
 
+def _write_quarantine(malformed: DataFrame, path: str, ingest_id: str, batch_id: int) -> None:
+    """File malformed messages under their batch; one that is run again replaces its own."""
+    (
+        malformed.select("raw", F.lit(ingest_id).alias("ingest_id"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+        .hint("rebalance")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("ingest_id", "batch_id").parquet(path)
+    )
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """Malformed messages as they came, with the ingest and batch that met them."""
+    return spark.read.schema(QUARANTINE_DDL).parquet(path)
+
+
 def start_table_sink(
     events: DataFrame,
     path: str,
@@ -32,6 +49,7 @@ def start_table_sink(
     every: str | None = TRIGGER,
     on_batch: Callable[[int, int], None] | None = None,
     name: str | None = None,
+    quarantine: str | None = None,
 ) -> StreamingQuery:
     """Write a normalised event stream into the table, one write job per micro-batch.
 
@@ -42,7 +60,11 @@ def start_table_sink(
     again on restart. ``on_batch`` is told the batch number and its row count,
     counted while the rows are written; should executors be lost meanwhile, rows
     read again may be counted again. With ``name``, the registered name of the
-    table, each batch is added to the catalog before it counts as done.
+    table, each batch is added to the catalog before it counts as done. With
+    ``quarantine``, a folder, the stream also has the columns ``raw`` and
+    ``valid`` of ``decode_flagged``: rows that are not valid go there as text,
+    not into the table. Such a batch is kept, on disk where memory is short,
+    while it is written to both, so that it is read and parsed once.
     """
     if name is not None:
         define_events_table(events.sparkSession, name, path)
@@ -51,6 +73,17 @@ def start_table_sink(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         started.wait()
+        if quarantine is None:
+            store(batch, batch_id)
+            return
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _write_quarantine(batch.where("NOT valid"), quarantine, ingest["id"], batch_id)
+            store(batch.where("valid").drop("raw", "valid"), batch_id)
+        finally:
+            batch.unpersist()
+
+    def store(batch: DataFrame, batch_id: int) -> None:
         counted = Observation()
         months = F.collect_set(month_key(F.col("timestamp"))).alias("months")
         rows = batch.observe(counted, F.count(F.lit(1)).alias("row_count"), months)
@@ -81,15 +114,17 @@ def start_ingest(
     on_batch: Callable[[int, int], None] | None = None,
     unique_within: str | None = None,
     name: str | None = None,
+    quarantine: str | None = None,
 ) -> StreamingQuery:
     """Decode, normalise and store a message stream.
 
-    Malformed messages are kept, as rows of default values. With
+    Malformed messages are kept, as rows of default values, or, with a folder
+    given as ``quarantine``, set aside there as they came. With
     ``unique_within``, an interval such as "10 minutes", further copies of an
     event arriving within that time are left out; see ``suppress_duplicates``.
     ``name`` keeps the table complete under its registered name.
     """
-    events = decode(messages)
+    events = decode(messages) if quarantine is None else decode_flagged(messages)
     if unique_within is not None:
         events = suppress_duplicates(events, unique_within)
-    return start_table_sink(normalize(events), path, checkpoint, every, on_batch, name)
+    return start_table_sink(normalize(events), path, checkpoint, every, on_batch, name, quarantine)

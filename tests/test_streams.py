@@ -239,3 +239,42 @@ def test_job_arguments():
     assert (options.topic, options.every, options.max_offsets, options.unique_within) == (
         "events", "10 seconds", 500, None,
     )
+
+
+def quarantined(spark, folder):
+    return sorted(r.raw for r in pipeline.read_quarantine(spark, f"{folder}/malformed").collect())
+
+
+def test_malformed_messages_are_set_aside_as_they_came(spark):
+    folder = fresh_folder(spark, "q")
+    good = [message("a", "2024-05-01T10:00:00"), message("b", "2024-05-01T10:00:01", price="null")]
+    bad = ["not json", "{}", message("c", "?"), message("d", "2024-05-01T10:00:00", price='"dear"')]
+    send(spark, f"{folder}/in", *good, *bad)
+    counts = {}
+    ingest(spark, folder, quarantine=f"{folder}/malformed", on_batch=counts.__setitem__)
+    assert stored_ids(spark, folder) == ["a", "b"] and counts == {0: 2}
+    assert quarantined(spark, folder) == sorted(bad)
+    send(spark, f"{folder}/in", message("e", "2024-05-01T10:00:02"))
+    ingest(spark, folder, quarantine=f"{folder}/malformed")
+    assert stored_ids(spark, folder) == ["a", "b", "e"] and len(quarantined(spark, folder)) == 4
+
+
+def test_a_batch_set_aside_and_run_again_replaces_itself(spark, monkeypatch):
+    folder = fresh_folder(spark, "q")
+    send(spark, f"{folder}/in", message("a", "2024-05-01T10:00:00"), "not json")
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with pytest.raises(StreamingQueryException):
+        ingest(spark, folder, quarantine=f"{folder}/malformed", on_batch=crash)
+    ingest(spark, folder, quarantine=f"{folder}/malformed")
+    assert stored_ids(spark, folder) == ["a"] and quarantined(spark, folder) == ["not json"]
+
+
+def test_a_malformed_message_hides_no_good_one(spark):
+    folder = fresh_folder(spark, "q")
+    broken, good = message("a", "?"), message("a", "2024-05-01T10:00:00")
+    send(spark, f"{folder}/in", broken, good, good, broken)
+    ingest(spark, folder, quarantine=f"{folder}/malformed", unique_within="10 minutes")
+    assert stored_ids(spark, folder) == ["a"] and quarantined(spark, folder) == [broken, broken]

@@ -130,7 +130,7 @@ def test_create_is_idempotent_and_finds_the_partitions(spark, stored):
 
 def test_reading_by_name_prunes_in_the_catalog(spark, stored):
     table.create_events_table(spark, "named_events", stored)
-    by_name = table.read_window(spark, "named_events", "7d", AS_OF)
+    by_name = table.read_window(spark, None, "7d", AS_OF, name="named_events")
     by_folder = table.read_window(spark, stored, "7d", AS_OF)
     assert sorted(by_name.collect()) == sorted(by_folder.collect())
     assert "PartitionFilters: [isnotnull(event_month" in executed(by_name)

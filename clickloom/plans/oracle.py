@@ -253,6 +253,7 @@ ORACLE: dict[str, str] = {
                {_ISO.format('min(ts)')} AS first_seen, {_ISO.format('max(ts)')} AS last_seen
         FROM bound
         WHERE date_trunc('month', ts) = (SELECT date_trunc('month', as_of) FROM clock)""",
+    "folded_month": _WHOLE_TABLE,
     "ingest_stream": _WHOLE_TABLE,
     "quarantine_stream": """
         SELECT CASE WHEN event_type IN ('error', 'signup', 'click') THEN 'malformed' ELSE 'stored' END AS part,

@@ -19,10 +19,11 @@ from clickloom.functions.times import iso_text, live_start, window_start
 from clickloom.operators import log, metrics, shaping
 from clickloom.plans.reports import Reports
 from clickloom.sources.fixtures import fixture_events, latest_second
+from clickloom.sources.folding import drop_folded, fold_month
 from clickloom.sources.messages import decode, encode, is_valid, normalize
 from clickloom.sources.scratch import fresh_folder
 from clickloom.sources.streams import read_message_files
-from clickloom.sources.table import batch_counts, read_events, write_events
+from clickloom.sources.table import batch_counts, read_events, read_table, write_events
 from clickloom.streaming import live
 from clickloom.streaming.pipeline import read_quarantine, start_ingest
 from clickloom.vocabulary import PURCHASE, WINDOWS
@@ -198,6 +199,20 @@ def _table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _folded_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of seven batches, of which six are folded and their folders dropped, and the last comes later."""
+    path = fresh_folder(spark, "folded")
+    events = fixture_events(spark, sf_dir)
+    batch = F.pmod(F.xxhash64("event_id"), F.lit(7))
+    for number in range(6):
+        write_events(events.where(batch == number), path, "batches", number)
+    for month in read_table(spark, path).select("event_month").distinct().collect():
+        fold_month(spark, path, month.event_month)
+    drop_folded(spark, path)
+    write_events(events.where(batch == 6), path, "batches", 6)
+    return _as_text(read_events(spark, path))
+
+
 def _report(ask: Callable[[Reports], DataFrame]) -> Query:
     """A report over a stored table of two months: the fixture, and once more 30 days earlier."""
 
@@ -378,6 +393,7 @@ QUERIES: dict[str, Query] = {
     "decode_normalize": _decode_normalize,
     "malformed_split": _malformed_split,
     "table_roundtrip_month": _table_roundtrip,
+    "folded_month": _folded_month,
     "report_health": _report(lambda r: r.health()),
     "report_events": _report(lambda r: r.events("30d", limit=20, offset=20)),
     "report_overview": _report(lambda r: r.overview("30d")),

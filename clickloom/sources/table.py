@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions.times import as_of_column, month_key, utc_wall_clock, window_start
@@ -24,6 +25,8 @@ TABLE_DDL = (
     EVENT_DDL.replace("timestamp TIMESTAMP", "timestamp TIMESTAMP_NTZ")
     + ", event_month INT, ingest_id STRING, batch_id BIGINT"
 )
+FOLD_PREFIX = "fold-"
+FOLDS_DDL = "event_month INT, fold_id STRING, ingest_id STRING, through_batch BIGINT"
 
 
 def define_events_table(spark: SparkSession, name: str, path: str) -> None:
@@ -95,14 +98,60 @@ def write_events(events: DataFrame, path: str, ingest_id: str, batch_id: int = 0
     )
 
 
+def table_folder(spark: SparkSession, name: str) -> str:
+    """Where the table registered as ``name`` lies."""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'")
+    return described.first()["data_type"]
+
+
+def folds_folder(folder: str) -> str:
+    """Beside the table, for the table's folder holds partitions only."""
+    return folder.rstrip("/") + "-folds"
+
+
+def read_folds(spark: SparkSession, folder: str) -> list[Row]:
+    """What has been folded: in a month, an ingest's batches up to one now stand in ``fold_id``.
+
+    There is one row per month, fold and ingest, however many batches were folded.
+    """
+    try:
+        return spark.read.schema(FOLDS_DDL).parquet(folds_folder(folder)).collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def superseded(folds: list[Row]) -> Column:
+    """Rows of batches that stand in a fold, or of a fold that was not finished.
+
+    The condition is on partition columns, so files of such rows are not opened.
+    """
+    # Null-safe, which spares the scan a check for null.
+    gone = F.coalesce(F.col("ingest_id").startswith(FOLD_PREFIX), F.lit(False))
+    for month, fold_id in {(f.event_month, f.fold_id) for f in folds}:
+        gone = gone & ~((F.col("event_month") == month) & (F.col("ingest_id") == fold_id))
+    for f in folds:
+        gone = gone | (
+            (F.col("event_month") == f.event_month) & (F.col("ingest_id") == f.ingest_id)
+            & (F.col("batch_id") <= f.through_batch)
+        )
+    return gone
+
+
 def read_table(spark: SparkSession, folder: str | None = None, name: str | None = None) -> DataFrame:
     """All columns, with the partition columns, of the table in a folder or of a registered name.
 
-    A folder's schema is given, so no file is opened to infer it.
+    A folder's schema is given, so no file is opened to infer it. Of folded
+    batches the fold is read; see ``folding``.
     """
     if (folder is None) == (name is None):
         raise ValueError("give the table's folder or its registered name, and not both")
-    return spark.table(name) if folder is None else spark.read.schema(TABLE_DDL).parquet(folder)
+    # What is folded is looked up before the files are listed, so that a fold
+    # finished in between adds nothing to this reader's rows.
+    folds = read_folds(spark, table_folder(spark, name) if folder is None else folder)
+    rows = spark.table(name) if folder is None else spark.read.schema(TABLE_DDL).parquet(folder)
+    return rows.where(~superseded(folds))
 
 
 def read_events(
@@ -139,5 +188,8 @@ def read_window(
 
 
 def batch_counts(spark: SparkSession, folder: str | None = None, name: str | None = None) -> DataFrame:
-    """Stored rows per batch, from the partition columns and the files' row counts alone."""
+    """Stored rows per batch, from the partition columns and the files' row counts alone.
+
+    A fold of batches counts as one.
+    """
     return read_table(spark, folder, name).groupBy("ingest_id", "batch_id").agg(F.count("*").alias("row_count"))

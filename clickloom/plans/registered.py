@@ -245,8 +245,7 @@ def _quarantine_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = _damaged(fixture_events(spark, sf_dir, whole_seconds=False)).withColumn("value", F.when(
         F.col("value").contains('"event_type":"click"'), F.replace("value", F.lit('"price":'), F.lit('"price":"?",":":')),
     ).otherwise(F.col("value")))
-    for part in (F.crc32("value") % 2 == 0, F.crc32("value") % 2 == 1):
-        messages.where(part).coalesce(1).write.mode("append").text(f"{folder}/in")
+    messages.repartition(2).write.text(f"{folder}/in")
     start_ingest(
         read_message_files(spark, f"{folder}/in", max_files_per_trigger=1), f"{folder}/table",
         f"{folder}/checkpoint", every=None, quarantine=f"{folder}/malformed",

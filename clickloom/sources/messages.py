@@ -32,10 +32,10 @@ def decode_flagged(messages: DataFrame) -> DataFrame:
     never taken for a copy of a good one.
     """
     text = F.col("value").cast("string")
-    event = F.from_json(text, f"{EVENT_DDL}, unreadable STRING", {"columnNameOfCorruptRecord": "unreadable"})
-    # The text is in both columns only while the row is in memory; one pass, parsed once.
-    decoded = messages.select(text.alias("raw"), F.inline(F.array(event)))
-    valid = F.coalesce(is_valid() & F.col("unreadable").isNull(), F.lit(False))
+    decoded = messages.select(text.alias("raw"), F.inline(F.array(F.from_json(text, EVENT_DDL))))
+    # Looked up in the text only where there is no price.
+    unreadable = F.col("price").isNull() & F.get_json_object("raw", "$.price").isNotNull()
+    valid = is_valid() & ~unreadable
     flagged = decoded.withColumn("valid", valid).withColumn("event_id", F.when(F.col("valid"), F.col("event_id")))
     return flagged.select(*EVENT_COLUMNS, "raw", "valid")
 

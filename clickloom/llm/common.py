@@ -45,7 +45,10 @@ def restore(frame: DataFrame, names: list[str]) -> DataFrame:
 def settle(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, and no lineage before it.
 
-    Executors lost later cost no recomputation of what led here.
+    Executors lost later cost no recomputation of what led here. It also lets
+    Spark split a skewed join: that needs plain shuffles on both sides, so an
+    aggregate that is joined on its own key is settled first. A settled side has
+    a known size too, and is broadcast only if that is small.
     """
     folder = fresh_folder(frame.sparkSession, purpose)
     frame.write.parquet(folder)

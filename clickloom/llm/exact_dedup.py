@@ -95,7 +95,9 @@ def verdicts(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     rows = index_documents(docs, index)
     ids = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("repeats"))
     sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
-    judged = ids.join(sizes, "digest").join(index.read().hint("merge"), "digest")
+    groups = sizes.join(index.read().hint("merge"), "digest")
+    # Settled, so that a digest with very many ids can be split over tasks.
+    judged = ids.join(settle(groups, "groups"), "digest")
     return judged.select(
         "doc_id", "digest", "keep_id", "group_size",
         F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("copy"),

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import pick, word_blocks
+from clickloom.llm.common import pick, settle, word_blocks
 from clickloom.llm.wordhash import anchors, text_chunks, word_hashes, word_spans
 
 WINDOW = 35
@@ -63,7 +63,8 @@ def _recurring(docs: DataFrame, window: int, shingle: int, crowded: int) -> Data
     """(k1, marks): for each text, where its recurring anchors are."""
     rows = _anchor_rows(docs, window, shingle)
     counted = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    counted = counted.select(F.col("anchor"), (F.col("n") > crowded).alias("crowded"))
+    # Settled, so that an anchor with very many occurrences can be split over tasks.
+    counted = settle(counted.select(F.col("anchor"), (F.col("n") > crowded).alias("crowded")), "recurring-anchors")
     marks = F.collect_set(F.struct("at", "anchor", "crowded")).alias("marks")
     return rows.join(counted, "anchor").groupBy("k1").agg(marks)
 

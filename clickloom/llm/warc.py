@@ -72,7 +72,8 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
         rows.where(F.col("bytes") >= min_bytes).groupBy("digest")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
-    judged = rows.join(first, "digest", "left").withColumn(
+    # Settled, so that the pages of a payload with very many copies can be split over tasks.
+    judged = rows.join(settle(first, "repeated-payloads"), "digest", "left").withColumn(
         "revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     )
     seconds = F.lit(EPOCH) + F.pmod(F.xxhash64(F.coalesce("page_id", F.lit(-1))), F.lit(YEAR_SECONDS))

@@ -11,14 +11,14 @@ from clickloom.llm.common import settle
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    least = settle(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least-neighbours")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = settle(down.groupBy("a").agg(F.min("b").alias("m")), "least-neighbours")
     rest = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -27,9 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
 
     Alternates large and small stars until nothing changes, which takes a number
-    of rounds logarithmic in the nodes. Minima are combined before each shuffle,
-    so a node with very many neighbours is no hot key; each round is settled, so
-    lost executors cost one round. Loops and repeated edges do no harm.
+    of rounds logarithmic in the nodes. Minima are combined before each shuffle
+    and settled before they are joined, so a node with very many neighbours can
+    be split over tasks; each round is settled, so lost executors cost one round. Loops and repeated edges do no harm.
     """
     edges = settle(edges.where("a <> b").select("a", "b").distinct(), "edges")
     mark = _mark(edges)

@@ -274,7 +274,8 @@ def near_duplicates(
         "root", F.coalesce("root", "fp")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "root", "component_id")
+    # Settled, so that a component with very many fingerprints can be split over tasks.
+    classes = rooted.join(settle(named, "components"), "root").select("fp", "root", "component_id")
     return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 

@@ -8,7 +8,9 @@ distance becomes a small Hamming distance: it reads a word for each output
 position and moves on or stays by a coin thrown for the position and the word.
 Coordinates sampled from several walks make the keys of the search; so many
 keys are used that the wanted recall is reached on items edited at random. What
-collides is verified by exact edit distance.
+collides is verified by exact edit distance. Item sizes that would take too many
+walks are not searched for by keys: all stretches around shared runs that have
+enough of the item's words are verified, so their recall is 1.
 """
 
 from __future__ import annotations
@@ -28,8 +30,14 @@ from clickloom.llm.wordhash import mixed, text_chunks, word_hashes, word_spans
 
 SHARE = 0.2
 RECALL = 0.99
-# Output positions per key, keys per walk, and walks at most.
-SAMPLED, KEYS_PER_WALK, MOST_WALKS = 2, 4, 24
+# Output positions per key, keys per walk.
+SAMPLED, KEYS_PER_WALK = 2, 4
+# Item sizes over so many words, and those that miss the recall with so many walks, are verified without keys.
+LONGEST_WALKED, MOST_WALKS = 256, 24
+# Edited items that a size's number of walks is found with.
+TRIALS = 400
+# Shared runs and table cells handled at a time.
+_RUNS, _CELLS = 1 << 20, 1 << 20
 # Items searched for at a time; more are searched for in blocks. It bounds what is broadcast.
 BLOCK_ITEMS = 20_000
 SEED = 20_240_501
@@ -131,6 +139,12 @@ def edit_distances(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, item
     return distance, starts + end - reverse.argmin(axis=1), starts + end
 
 
+def joined(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping regions as one; neither ends nor starts may fall from one region to the next."""
+    first = np.append(True, low[1:] >= high[:-1])
+    return low[first], high[np.append(first[1:], True)]
+
+
 class ItemIndex:
     """A block of benchmark items, ready to be searched for."""
 
@@ -145,22 +159,25 @@ class ItemIndex:
                     self.words.append(hashes[firsts[i]:firsts[i + 1]])
         self.edits = [int(share * len(w)) for w in self.words]
         self.sizes: dict[int, list[int]] = defaultdict(list)
-        runs: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
         for item, words in enumerate(self.words):
             self.sizes[len(words)].append(item)
+        self.walks = {n: self._walks_for(n, members, recall) for n, members in self.sizes.items()}
+        # By whether the items have walks, and by length.
+        runs: dict[tuple[bool, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        for item, words in enumerate(self.words):
             length = shared_run(len(words), self.edits[item])
             values = run_hashes(words, length)
-            runs[length].append((values, np.full(len(values), item), np.arange(len(values))))
+            part = values, np.full(len(values), item), np.arange(len(values))
+            runs[self.walks[len(words)] > 0, length].append(part)
         self.runs = {}
-        for length, parts in runs.items():
+        for key, parts in runs.items():
             values, owners, places = (np.concatenate(p) for p in zip(*parts))
             order = np.argsort(values, kind="stable")
-            self.runs[length] = values[order], owners[order], places[order]
+            self.runs[key] = values[order], owners[order], places[order]
         self.filters = {}
-        for length, (values, _, _) in self.runs.items():
-            self.filters[length] = np.zeros(1 << _FILTER_BITS, bool)
-            self.filters[length][values >> np.uint64(64 - _FILTER_BITS)] = True
-        self.walks = {n: self._walks_for(n, members, recall) for n, members in self.sizes.items()}
+        for key, (values, _, _) in self.runs.items():
+            self.filters[key] = np.zeros(1 << _FILTER_BITS, bool)
+            self.filters[key][values >> np.uint64(64 - _FILTER_BITS)] = True
         flat = np.append(np.concatenate([*self.words, np.empty(0, np.uint64)]), np.uint64(0))
         sizes = np.array([len(w) for w in self.words], np.int64)
         starts = np.cumsum(sizes) - sizes
@@ -171,12 +188,17 @@ class ItemIndex:
             order = np.argsort(keys, axis=1, kind="stable")
             self.tables.append((np.take_along_axis(keys, order, axis=1), some[order]))
 
-    def _walks_for(self, n: int, members: list[int], recall: float, trials: int = 48) -> int:
-        """So many walks that ``recall`` of items with as many random edits as are allowed collide."""
+    def _walks_for(self, n: int, members: list[int], recall: float, trials: int = TRIALS) -> int:
+        """So many walks that ``recall`` of items with as many random edits as are allowed collide.
+
+        0 where that takes too many: such items are verified without keys.
+        """
         rng = np.random.default_rng([SEED, n])
         edits = int(self.share * n)
         if not edits:
             return 1
+        if n > LONGEST_WALKED:
+            return 0
         plain, edited = [], []
         for trial in range(trials):
             words = self.words[members[trial % len(members)]]
@@ -201,27 +223,37 @@ class ItemIndex:
             found |= (a == b).any(axis=0)
             if found.mean() >= recall:
                 return number + 1
-        return MOST_WALKS
+        return 0
+
+    def shared_runs(self, words: np.ndarray, firsts: np.ndarray, walked: bool) -> Iterator[tuple]:
+        """(place in the words, item, place in the item) of runs that texts share with items, in parts."""
+        for key, (values, owners, places) in self.runs.items():
+            if key[0] != walked:
+                continue
+            hashes = run_hashes(words, key[1])
+            hit = np.flatnonzero(self.filters[key][hashes >> np.uint64(64 - _FILTER_BITS)])
+            hit = hit[hit + key[1] <= firsts[np.searchsorted(firsts, hit, side="right")]]
+            first = np.searchsorted(values, hashes[hit])
+            number = np.searchsorted(values, hashes[hit], side="right") - first
+            total = np.cumsum(number)
+            cuts = np.searchsorted(total, np.arange(_RUNS, int(number.sum()), _RUNS))
+            for part in np.split(np.arange(len(hit)), cuts):
+                some = number[part]
+                which = np.repeat(first[part] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+                yield np.repeat(hit[part], some), owners[which], places[which]
 
     def windows(self, words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first word, item size) of the windows laid around shared runs, each once."""
+        """(text, first word, item size) of the windows laid around runs shared with walked items, each once."""
         laid = []
         size_of = np.array([len(w) for w in self.words], np.int64)
-        for length, (values, owners, places) in self.runs.items():
-            hashes = run_hashes(words, length)
-            hit = np.flatnonzero(self.filters[length][hashes >> np.uint64(64 - _FILTER_BITS)])
-            hit = hit[hit + length <= firsts[np.searchsorted(firsts, hit, side="right")]]
-            first = np.searchsorted(values, hashes[hit])
-            number = np.searchsorted(values, hashes[hit], side="right") - first
-            at = np.repeat(hit, number)
-            which = np.repeat(first - (np.cumsum(number) - number), number) + np.arange(len(at))
-            size = size_of[owners[which]]
+        for at, owner, place in self.shared_runs(words, firsts, walked=True):
+            size = size_of[owner]
             edits = (self.share * size).astype(np.int64)
             # An edit before the run moves the stretch's start; windows two words apart leave one edit of doubt.
             for move in range(0, int(edits.max(initial=0)) + 1, 2):
                 near = edits >= move
                 for start in {move, -move}:
-                    laid.append(np.stack([at[near] - places[which[near]] + start, at[near], size[near]]))
+                    laid.append(np.stack([at[near] - place[near] + start, at[near], size[near]]))
         laid = np.concatenate(laid, axis=1) if laid else np.empty((3, 0), np.int64)
         text = np.searchsorted(firsts, laid[1], side="right") - 1
         # At a text's edges a stretch may lack words: its window is the part inside.
@@ -229,6 +261,49 @@ class ItemIndex:
         start, text, size = np.unique(np.stack([start, text, laid[2]]), axis=1)
         return text, start, size
 
+    def regions(self, words: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, starts, ends) of regions that hold every stretch into which an item without walks has leaked.
+
+        Such a stretch has all but the allowed edits of the item's words, so regions with fewer go.
+        """
+        for at, owner, place in self.shared_runs(words, firsts, walked=False):
+            text = np.searchsorted(firsts, at, side="right") - 1
+            start = at - place
+            order = np.lexsort((start, text, owner))
+            owner, text, start = owner[order], text[order], start[order]
+            changes = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+            for part in np.split(np.arange(len(owner)), changes):
+                if not len(part):
+                    continue
+                item = int(owner[part[0]])
+                n, edits = len(self.words[item]), self.edits[item]
+                low = np.maximum(firsts[text[part]], start[part] - edits)
+                high = np.minimum(firsts[text[part] + 1], start[part] + n + edits)
+                begin, end = joined(low, high)
+                before = np.cumsum(end - begin) - (end - begin)
+                reach = np.repeat(begin - before, end - begin) + np.arange((end - begin).sum())
+                known = np.append(0, np.cumsum(np.isin(words[reach], self.words[item])))
+                within = np.searchsorted(begin, low, side="right") - 1
+                moved = before[within] - begin[within]
+                enough = known[high + moved] - known[low + moved] >= n - edits
+                if enough.any():
+                    yield item, *joined(low[enough], high[enough])
+
+    def verify(
+        self, words: np.ndarray, firsts: np.ndarray, item: int, low: np.ndarray, high: np.ndarray, best: dict
+    ) -> None:
+        """Enters the item's nearest stretch in each region words[low:high] that is near enough and the text's best."""
+        order = np.argsort(low - high, kind="stable")
+        while len(order):
+            some, order = np.split(order, [max(1, _CELLS // int(high[order[0]] - low[order[0]]))])
+            distance, begin, end = edit_distances(words, low[some], high[some], self.words[item])
+            text = np.searchsorted(firsts, low[some], side="right") - 1
+            for i in np.flatnonzero(distance <= self.edits[item]).tolist():
+                where = int(text[i])
+                hit = int(distance[i]), int(begin[i] - firsts[where]), int(end[i] - firsts[where])
+                if (where, item) not in best or hit < best[where, item]:
+                    best[where, item] = hit
+
     def search(self, words: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end) of the nearest stretch of each item in each text it leaked into."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -257,16 +332,10 @@ class ItemIndex:
             by_item[item].append(window)
         for item, found in by_item.items():
             n, edits, found = len(self.words[item]), self.edits[item], np.array(found)
-            for at in range(0, len(found), 1 << 10):
-                some = found[at:at + (1 << 10)]
-                low = np.maximum(firsts[text[some]], start[some] - edits)
-                high = np.minimum(ends[some], start[some] + n + edits)
-                distance, begin, end = edit_distances(words, low, high, self.words[item])
-                for i in np.flatnonzero(distance <= edits).tolist():
-                    where = int(text[some[i]])
-                    hit = int(distance[i]), int(begin[i] - firsts[where]), int(end[i] - firsts[where])
-                    if (where, item) not in best or hit < best[where, item]:
-                        best[where, item] = hit
+            low = np.maximum(firsts[text[found]], start[found] - edits)
+            self.verify(words, firsts, item, low, np.minimum(ends[found], start[found] + n + edits), best)
+        for item, low, high in self.regions(words[:-1], firsts):
+            self.verify(words, firsts, item, low, high, best)
         for (where, item), hit in best.items():
             yield (where, item, *hit)
 

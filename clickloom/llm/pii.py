@@ -53,7 +53,8 @@ SHAPES = {
 PATTERN_SHARE, PATTERN_VALUES = 0.8, 5
 # An unproven value is believed from this score.
 BELIEF = 0.8
-ROUNDS = 4
+# Scores that rise by less in a round have come to rest.
+TINY = 1e-9
 # Characters of text before a token in which its words are looked for.
 REACH = 80
 _BLOCK = 128
@@ -214,7 +215,6 @@ def _shaped(value: Column, kind: str) -> Column:
 
 def believed(
     graph: DataFrame, share: float = PATTERN_SHARE, values: int = PATTERN_VALUES, belief: float = BELIEF,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """(pattern, value, kind): unproven values and the patterns they are believed after.
 
@@ -222,16 +222,21 @@ def believed(
     where nothing proves the value. In each round a pattern's score for a kind
     is the belief in the values after it over their number, one doubt added, and
     counts from ``share`` and ``values`` different values on; a value's is the
-    chance that not all patterns before it err. Rounds end early when no value
-    is newly believed.
+    chance that not all patterns before it err. Scores only rise from round to
+    round. Rounds end when no further pattern counts and no further value is
+    believed, and none would if all believed values were certain, or else when
+    scores rise no more.
     """
     known = graph.where("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     sizes = graph.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
     pairs = graph.select("pattern", "value").distinct()
     doubtful = graph.where("kind IS NULL").select("pattern", "value").distinct()
-    new, count, found = None, 0, None
-    for _ in range(rounds):
-        scores = known if new is None else known.unionByName(new)
+    shaped = F.lit(False)
+    for kind in KINDS:
+        shaped = shaped | ((F.col("kind") == kind) & _shaped(F.col("value"), kind))
+
+    def judged(scores: DataFrame) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+        """A round from these scores: what is found, what is believed, how many patterns count and values are believed."""
         patterns = (
             pairs.join(scores, "value").groupBy("pattern", "kind")
             .agg(F.sum("score").alias("mass"), F.count("*").alias("support"))
@@ -239,15 +244,29 @@ def believed(
             .withColumn("trust", F.col("mass") / (F.col("n") + 1.0))
             .where((F.col("trust") >= share) & (F.col("support") >= values))
         )
-        shaped = F.lit(False)
-        for kind in KINDS:
-            shaped = shaped | ((F.col("kind") == kind) & _shaped(F.col("value"), kind))
+        patterns = settle(patterns, "patterns")
         found = settle(doubtful.join(patterns, "pattern").where(shaped).select("pattern", "value", "kind", "trust"), "found")
         all_err = F.exp(F.sum(F.log(F.lit(1.0) - F.least("trust", F.lit(1 - 1e-9)))))
         new = found.groupBy("value", "kind").agg((F.lit(1.0) - all_err).alias("score")).where(F.col("score") >= belief)
         new = settle(new.join(known, ["value", "kind"], "left_anti"), "believed")
-        before, count = count, new.count()
-        if count == before:
+        return found, new, (patterns.count(), new.count())
+
+    found, new, size = judged(known)
+    undecided = None
+    while size[1]:
+        before, least = new, size
+        found, new, size = judged(known.unionByName(before))
+        # Both sets only grow, so that equal counts are equal sets.
+        if size[0] > least[0] or size[1] > least[1]:
+            undecided = None
+            continue
+        if undecided is None:
+            undecided = judged(known.unionByName(new.withColumn("score", F.lit(1.0))))[2] != size
+        if not undecided:
+            break
+        lower = before.withColumnRenamed("score", "lower")
+        rise = new.join(lower, ["value", "kind"]).agg(F.max(F.col("score") - F.col("lower"))).first()[0]
+        if rise is None or rise < TINY:
             break
     return found.join(new.select("value", "kind"), ["value", "kind"], "left_semi").select("pattern", "value", "kind")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from clickloom.llm import decontaminate
+from clickloom.llm import decontaminate, pii
 
 
 def edited(rng, words, edits):
@@ -35,3 +35,27 @@ def test_edited_leaks_are_all_found_where_walks_do_not_suffice(monkeypatch, n, i
             exact[i] = [(2, i, int(d[0]), int(a[0] - low[0]), int(b[0] - low[0]))]
     assert all(x[0][2] <= n // 5 for x in exact.values())
     assert found == exact
+
+
+def phones(hop, n):
+    return [f"{hop:03d}{i:03d}5550" for i in range(n)]
+
+
+def test_beliefs_spread_over_many_hops(spark):
+    rows = [("hop0" + twin, value, "phone") for twin in "abc" for value in phones(0, 6)]
+    for hop in range(5):
+        for twin in "abc":
+            rows += [(f"hop{hop}{twin}", value, None) for value in phones(hop + 1, 6)]
+            rows += [(f"hop{hop}{twin}", value, None) for value in phones(hop, 6) if hop]
+    graph = spark.createDataFrame(rows, "pattern string, value string, kind string")
+    found = {r.value for r in pii.believed(graph, share=0.3, belief=0.6).collect()}
+    assert found == {value for hop in range(1, 6) for value in phones(hop, 6)}
+
+
+def test_rounds_go_on_while_rising_scores_may_bring_more(spark):
+    """Nothing new is believed in the second round, but the values believed are surer, so that a pattern counts in the third."""
+    rows = [("first", value, "phone") for value in phones(0, 30)] + [("first", value, None) for value in phones(1, 10)]
+    rows += [("second", value, None) for value in phones(1, 10) + phones(2, 1)]
+    graph = spark.createDataFrame(rows, "pattern string, value string, kind string")
+    found = {(r.pattern, r.value) for r in pii.believed(graph, share=0.7, belief=0.7).collect()}
+    assert ("second", phones(2, 1)[0]) in found

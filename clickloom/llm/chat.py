@@ -74,11 +74,12 @@ def parse(rendered: Column) -> Column:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """One row per conv_id: conv_id, formatted, escaped, turns.
+    """One row per conv_id: conv_id, formatted, escaped, turns, loss.
 
     Rows are ordered by turn (null first), then role, then text; null role and
     null text are empty; a null conv_id is a conversation of its own. ``turns``
-    is what the parser reads back from ``formatted``. ``escaped`` tells whether
+    is what the parser reads back from ``formatted``, ``loss`` the mask of
+    ``loss_spans`` for the assistant's texts. ``escaped`` tells whether
     the plain rendering failed the round trip. A rendering that fails it even
     then raises. A conversation is one string, so it must fit in a task. Extra
     columns are not read; without rows the result is empty.
@@ -104,7 +105,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     sound = F.when(same, F.col("formatted")).otherwise(
         F.raise_error(F.concat(F.lit("no round trip: "), F.col("conv_id").cast("string")))
     )
-    return parsed.select("conv_id", sound.alias("formatted"), "escaped", "turns")
+    read = parsed.select("conv_id", sound.alias("formatted"), "escaped", "turns")
+    return read.withColumn("loss", loss_spans(F.col("formatted")))
 
 
 def loss_spans(formatted: Column, roles: tuple[str, ...] = ("assistant",)) -> Column:
@@ -127,3 +129,11 @@ def loss_spans(formatted: Column, roles: tuple[str, ...] = ("assistant",)) -> Co
     spans = F.aggregate(inner, zero, step, lambda state: state["spans"])
     trained = F.filter(spans, lambda s: s["role"].isin(*roles))
     return F.transform(trained, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+
+def text_under(formatted: Column, spans: Column) -> Column:
+    """The texts that the spans cut from ``formatted``, unescaped and joined."""
+    cut = F.transform(
+        spans, lambda s: unescape_text(F.substring(formatted, s["start"] + F.lit(1), s["end"] - s["start"]))
+    )
+    return F.array_join(cut, "")

@@ -77,8 +77,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"UNION ALL SELECT -1L, 1L, 'assistant', '{INJECTED}'"
     )
     done = chat.format_conversations(rows.unionByName(attack))
-    trained = F.filter("turns", lambda t: t["role"] == "assistant")
-    read = done.withColumn("loss", F.array_join(F.transform(trained, lambda t: t["text"]), ""))
+    read = done.withColumn("loss", chat.text_under(F.col("formatted"), F.col("loss")))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(
         "conv_id",

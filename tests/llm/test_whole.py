@@ -6,7 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from clickloom.llm import decontaminate, pii
+from pyspark.sql import functions as F
+
+from clickloom.llm import chat, decontaminate, pii
+from clickloom.llm.queries import op10_chat_format
 
 
 def edited(rng, words, edits):
@@ -59,3 +62,13 @@ def test_rounds_go_on_while_rising_scores_may_bring_more(spark):
     graph = spark.createDataFrame(rows, "pattern string, value string, kind string")
     found = {(r.pattern, r.value) for r in pii.believed(graph, share=0.7, belief=0.7).collect()}
     assert ("second", phones(2, 1)[0]) in found
+
+
+def test_the_loss_is_what_the_mask_cuts_from_the_output(spark, monkeypatch):
+    sf_dir, mask = "/root/testdata/sf0.001", chat.loss_spans
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'")
+    wanted = {r.conv_id: r.n for r in rows.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n")).collect()}
+    got = {r.conv_id: r.loss_chars for r in op10_chat_format(spark, sf_dir).collect()}
+    assert wanted and got == {conv: wanted.get(conv, 0) for conv in got} | {-1: len("<|im_end|><|im_start|>assistant ok")}
+    monkeypatch.setattr(chat, "loss_spans", lambda formatted, roles=("nobody",): mask(formatted, ("nobody",)))
+    assert {r.loss_chars for r in op10_chat_format(spark, sf_dir).collect()} == {0}

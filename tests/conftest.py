@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import sys
-from datetime import datetime, timedelta
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
@@ -9,10 +9,9 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
+from events import AS_OF, SCHEMA  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
-AS_OF = datetime(2024, 5, 1, 12, 0, 0)
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -33,12 +32,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-SCHEMA = (
-    "event_id STRING, event_type STRING, user_id STRING, product_id STRING, "
-    "price DOUBLE, timestamp TIMESTAMP_NTZ, category STRING, ip_address STRING"
-)
-
-
 @pytest.fixture(scope="session")
 def make_events(spark):
     """A frame from (event_id, event_type, user_id, product_id, price, seconds before AS_OF[, category])."""

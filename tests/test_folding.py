@@ -4,7 +4,7 @@ from datetime import timedelta
 from pathlib import Path
 
 import pytest
-from conftest import AS_OF, SCHEMA
+from events import AS_OF, SCHEMA
 from pyspark.sql import functions as F
 
 from clickloom.sources import folding, table

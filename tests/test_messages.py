@@ -3,7 +3,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import AS_OF
+from events import AS_OF
 
 from clickloom.sources.messages import decode, encode, normalize, split_malformed
 from clickloom.vocabulary import EVENT_COLUMNS

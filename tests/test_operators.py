@@ -3,7 +3,7 @@
 from datetime import timezone
 
 import pytest
-from conftest import AS_OF
+from events import AS_OF
 from pyspark.sql import functions as F
 
 from clickloom.operators import log, metrics, shaping

@@ -4,7 +4,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import AS_OF, SCHEMA
+from events import AS_OF, SCHEMA
 from pyspark.sql import functions as F
 
 from clickloom.operators import log

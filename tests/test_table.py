@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
-from conftest import AS_OF, SCHEMA
+from events import AS_OF, SCHEMA
 from pyspark.sql import functions as F
 
 from clickloom.operators import log, metrics

@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 from compare import assert_same, oracle_connection
-from conftest import AWKWARD
+from awkward import AWKWARD
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

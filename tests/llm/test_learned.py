@@ -6,7 +6,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import AWKWARD
+from awkward import AWKWARD
 from pyspark.sql import functions as F
 
 from clickloom.llm import decontaminate, language_id, quality

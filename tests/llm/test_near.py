@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from conftest import AWKWARD
+from awkward import AWKWARD
 
 from clickloom.llm import graph, repeated_phrases, simhash
 

@@ -8,7 +8,7 @@ from base64 import b32encode
 from pathlib import Path
 
 import pytest
-from conftest import AWKWARD
+from awkward import AWKWARD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

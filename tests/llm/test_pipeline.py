@@ -1,7 +1,7 @@
 """The pipeline: every stage on awkward rows, and the whole on the table."""
 
 import pytest
-from conftest import AWKWARD
+from awkward import AWKWARD
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver

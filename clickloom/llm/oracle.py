@@ -77,4 +77,22 @@ ORACLE: dict[str, str] = {
         SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
                CASE WHEN escaped THEN safe_chars ELSE plain_chars END::BIGINT AS formatted_chars
         FROM gathered""",
+    "op13_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place
+            FROM documents),
+        keyed AS (
+            SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+            FROM split),
+        shared AS (
+            SELECT line_key, min(doc_id) AS owner FROM keyed WHERE length(line_key) >= 10
+            GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2),
+        judged AS (
+            SELECT doc_id, line, place, owner IS NOT NULL AND owner <> doc_id AS lost
+            FROM keyed LEFT JOIN shared USING (line_key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
 }

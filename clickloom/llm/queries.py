@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import (
-    chat, decontaminate, exact_dedup, language_id, mixing, pii, quality, repeated_phrases, simhash, warc,
+    chat, decontaminate, exact_dedup, language_id, line_dedup, mixing, pii, quality, repeated_phrases, simhash, warc,
 )
 from clickloom.llm.oracle import ORACLE
 
@@ -89,6 +89,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_repeated_phrases": op2_repeated_phrases,
@@ -100,6 +105,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 LLM_ORACLE = dict(ORACLE)

@@ -8,6 +8,26 @@ _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 _WEIGHT = " ".join(f"WHEN {i} THEN {float(w)}::DOUBLE" for i, w in enumerate(WEIGHTS))
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, as SQL: the bytes one by one, eight shifts each."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)"
+    shifts = (
+        "list_reduce(list_prepend(xor(crc, code), range(8)), "
+        "lambda value, i: xor(value >> 1, (value & 1) * 3988292384::BIGINT))"
+    )
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda crc, code: {shifts}), 4294967295::BIGINT)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
 ORACLE: dict[str, str] = {
     "op5_warc": """
         WITH hashed AS (
@@ -77,6 +97,52 @@ ORACLE: dict[str, str] = {
         SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
                CASE WHEN escaped THEN safe_chars ELSE plain_chars END::BIGINT AS formatted_chars
         FROM gathered""",
+    "op12_merkle": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+                   {_leaf(f"n_chars + CASE WHEN {_crc32('doc_id::VARCHAR')} % 7 = 0 THEN 1 ELSE 0 END")} AS claimed
+            FROM documents),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                   count(*) OVER (PARTITION BY lang) AS n
+            FROM leaves),
+        nodes AS (
+            SELECT lang, 0 AS level, place, n, leaf AS digest FROM placed
+            UNION ALL
+            SELECT lang, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY place))
+            FROM nodes WHERE n > 1 GROUP BY lang, level, place // 2, n),
+        subroots AS (
+            SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place,
+                   count(*) OVER () AS n
+            FROM nodes WHERE n = 1),
+        heads AS (
+            SELECT 0 AS level, place, n, subroot AS digest FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY place))
+            FROM heads WHERE n > 1 GROUP BY level, place // 2, n),
+        steps AS (
+            SELECT p.lang, p.place, 0 AS part, own.level, own.place AS node, coalesce(other.digest, '') AS sibling
+            FROM placed p
+            JOIN nodes own ON own.lang IS NOT DISTINCT FROM p.lang AND own.place = p.place >> own.level AND own.n > 1
+            LEFT JOIN nodes other ON other.lang IS NOT DISTINCT FROM own.lang AND other.level = own.level
+                AND other.place = xor(own.place, 1)
+            UNION ALL
+            SELECT p.lang, p.place, 1, own.level, own.place, coalesce(other.digest, '')
+            FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+            JOIN heads own ON own.place = s.place >> own.level AND own.n > 1
+            LEFT JOIN heads other ON other.level = own.level AND other.place = xor(own.place, 1)),
+        proofs AS (
+            SELECT lang, place, string_agg(sibling, '' ORDER BY part, level) AS proof,
+                   list(CASE WHEN node % 2 = 1 THEN 'L' ELSE 'R' END || sibling ORDER BY part, level) AS turns
+            FROM steps GROUP BY lang, place),
+        folded AS (
+            SELECT p.doc_id, p.leaf, s.subroot, (SELECT digest FROM heads WHERE n = 1) AS root,
+                   sha256(coalesce(proof, '')) AS proof_sha256,
+                   list_reduce(list_prepend(claimed, coalesce(turns, [])), lambda acc, turn: sha256(
+                       CASE WHEN turn[1] = 'L' THEN turn[2:] || acc ELSE acc || turn[2:] END)) AS folded_root
+            FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+            LEFT JOIN proofs q ON q.lang IS NOT DISTINCT FROM p.lang AND q.place = p.place)
+        SELECT *, folded_root = root AS verified FROM folded""",
     "op13_line_dedup": r"""
         WITH split AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

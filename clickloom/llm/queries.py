@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import (
-    chat, decontaminate, exact_dedup, language_id, line_dedup, mixing, pii, quality, repeated_phrases, simhash, warc,
+    chat, decontaminate, exact_dedup, language_id, line_dedup, merkle, mixing, pii, quality,
+    repeated_phrases, simhash, warc,
 )
 from clickloom.llm.oracle import ORACLE
 
@@ -89,6 +90,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    altered = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    done = merkle.manifest(table(spark, sf_dir, "documents"), altered=altered)
+    return done.select(
+        "doc_id", *[merkle.spelled(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified",
+    )
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -105,6 +116,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
+    "op12_merkle": op12_merkle,
     "op13_line_dedup": op13_line_dedup,
 }
 

@@ -97,6 +97,79 @@ ORACLE: dict[str, str] = {
         SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
                CASE WHEN escaped THEN safe_chars ELSE plain_chars END::BIGINT AS formatted_chars
         FROM gathered""",
+    "op11_conversation_repair": f"""
+        WITH RECURSIVE coded AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code
+            FROM conversations),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+                   CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM (SELECT *, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM coded)),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS nth
+            FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+                  FROM damaged)),
+        judged AS (
+            SELECT *, role[1] AS initial,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+            FROM placed),
+        counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal, count(*) AS n
+            FROM (SELECT *, place > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial
+                            NOT IN ('su', 'ua', 'au') AS bad FROM judged)
+            GROUP BY conv_id),
+        hops(before, now, inserts) AS (VALUES
+            ('0', '0', ''), ('0', 'u', 'I'), ('0', 'a', 'II'), ('s', 's', ''), ('s', 'u', 'I'), ('s', 'a', 'II'),
+            ('u', 'u', ''), ('u', 'a', 'I'), ('u', 'u', 'II'), ('a', 'a', ''), ('a', 'u', 'I'), ('a', 'a', 'II')),
+        edits(now, initial, edit, later, price) AS (VALUES
+            ('0', 's', 'K', 's', 0), ('0', 'u', 'K', 'u', 0), ('s', 'u', 'K', 'u', 0), ('a', 'u', 'K', 'u', 0),
+            ('u', 'a', 'K', 'a', 0), ('0', NULL, 'R', 'u', 3), ('s', NULL, 'R', 'u', 3), ('a', NULL, 'R', 'u', 3),
+            ('u', NULL, 'R', 'a', 3), ('0', NULL, 'D', '0', 4), ('s', NULL, 'D', 's', 4), ('u', NULL, 'D', 'u', 4),
+            ('a', NULL, 'D', 'a', 4)),
+        ways AS (
+            SELECT conv_id, 0::BIGINT AS place, '0' AS state, '000000000' AS way FROM counted
+            UNION ALL
+            SELECT r.conv_id, r.place, e.later, min(printf('%09d', w.way[:9]::INT + 3 * len(h.inserts) + e.price
+                       + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 3 ELSE 0 END) || w.way[10:] || h.inserts || e.edit)
+            FROM ways w JOIN judged r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.place = w.place + 1
+            JOIN hops h ON h.before = w.state
+            JOIN edits e ON e.now = h.now AND coalesce(e.initial = r.initial, e.initial IS NULL)
+                AND (edit = 'D' OR fault NOT IN ('blank', 'duplicate'))
+            GROUP BY r.conv_id, r.place, e.later),
+        best AS (
+            SELECT c.conv_id, min(printf('%09d', w.way[:9]::INT + 3 * len(h.inserts)) || w.way[10:] || h.inserts) AS way
+            FROM counted c JOIN ways w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.place = c.n
+            JOIN hops h ON h.before = w.state AND h.now IN ('0', 'a')
+            GROUP BY c.conv_id),
+        lettered AS (
+            SELECT conv_id, way[:9]::BIGINT AS cost, way[10:] AS audit, unnest(string_split(way[10:], '')) AS edit,
+                   unnest(range(len(way) - 9)) AS k
+            FROM best),
+        sourced AS (
+            SELECT *, sum((edit <> 'I')::INT) OVER upto AS place, sum((edit <> 'D')::INT) OVER upto AS made
+            FROM lettered WINDOW upto AS (PARTITION BY conv_id ORDER BY k)),
+        met AS (
+            SELECT s.*, r.role, r.text,
+                   max((edit = 'K' AND made = 1 AND r.initial = 's')::INT) OVER (PARTITION BY s.conv_id) AS headed
+            FROM sourced s LEFT JOIN judged r
+                ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.place = s.place AND s.edit <> 'I'),
+        repaired AS (
+            SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (made - headed) % 2 = 1 THEN 'user'
+                                            ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k)
+                                FILTER (edit <> 'D') AS whole
+            FROM met GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank,
+               coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(way[:9]::BIGINT, 0) AS cost, coalesce(way[10:], '') AS audit,
+               sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN repaired p ON p.conv_id IS NOT DISTINCT FROM o.conv_id""",
     "op12_merkle": f"""
         WITH RECURSIVE leaves AS (
             SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clickloom.llm import (
     chat, decontaminate, exact_dedup, language_id, line_dedup, merkle, mixing, pii, quality,
-    repeated_phrases, simhash, warc,
+    repair, repeated_phrases, simhash, warc,
 )
 from clickloom.llm.oracle import ORACLE
 
@@ -90,6 +90,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    lines = F.transform("turns", lambda t: F.concat_ws(":", t["role"], t["text"]))
+    done = repair.repair(repair.damage(rows)).select(
+        F.col("conv_id").alias("of"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"),
+    )
+    # Conversations that lost all rows.
+    whole = rows.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     altered = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
@@ -116,6 +132,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle": op12_merkle,
     "op13_line_dedup": op13_line_dedup,
 }

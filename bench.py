@@ -26,7 +26,8 @@ RUNS = 3
 STREAM_RUNS = 1
 STREAMS = {
     "ingest_stream", "quarantine_stream", "recovery_stream", "batch_counts", "rate_capped_ingest",
-    "dedup_stream", "table_by_name", "folded_month", "live_minutes", "running_funnel",
+    "dedup_stream", "table_by_name", "folded_month", "live_minutes", "running_funnel", "final_minutes",
+    "journey_funnel", "unique_ingest", "progress_table", "offset_audit",
 }
 
 

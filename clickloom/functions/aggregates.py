@@ -21,8 +21,8 @@ def stage_counts() -> list[Column]:
     return [F.expr(f"count_if(event_type = '{stage}') AS {name}") for name, stage in STAGE_COLUMNS.items()]
 
 
-def money_sum(amount: str) -> Column:
-    """Sum of a DOUBLE amount, given as a column name or SQL; 0.0 when there is nothing to add.
+def money_parts(amount: str) -> dict[str, str]:
+    """SQL aggregates, by name, whose totals can be added up over any grouping and read by ``money_total``.
 
     A plain double sum depends on the order in which tasks finish. Here each
     amount is taken apart into whole numbers, whose sums do not: its cents, and
@@ -34,14 +34,32 @@ def money_sum(amount: str) -> Column:
     cents = f"CAST(CASE WHEN abs({amount}) < 4e13D THEN rint(({amount}) * 100) ELSE 0D END AS BIGINT)"
     rest = f"CAST(CASE WHEN abs({amount}) < 4e13D THEN rint((({amount}) - {cents} / 100D) * {2**62}D) ELSE 0D END AS BIGINT)"
     large = f"CASE WHEN abs({amount}) >= 4e13D AND abs({amount}) < 1e30D THEN {amount} END"
+    return {
+        "cents_high": f"sum({cents} div {2**20})", "cents_low": f"sum({cents} % {2**20})",
+        "rest_high": f"sum({rest} div {2**24})", "rest_low": f"sum({rest} % {2**24})",
+        "large": f"sum(CAST({large} AS DECIMAL(38, 2)))",
+        "huge": f"sum(CASE WHEN abs({amount}) >= 1e30D THEN {amount} END)",
+    }
+
+
+def money_total(parts: dict[str, str]) -> Column:
+    """The amount that the parts' totals, given as SQL by name, stand for; 0.0 when nothing was added."""
     return F.expr(
-        f"coalesce((sum({cents} div {2**20}) * {2**20}D + sum({cents} % {2**20})) / 100D"
-        f" + (sum({rest} div {2**24}) * {2**24}D + sum({rest} % {2**24})) / {2**62}D"
-        f" + coalesce(CAST(sum(CAST({large} AS DECIMAL(38, 2))) AS DOUBLE), 0D)"
-        f" + coalesce(sum(CASE WHEN abs({amount}) >= 1e30D THEN {amount} END), 0D), 0D)"
+        f"coalesce(({parts['cents_high']} * {2**20}D + {parts['cents_low']}) / 100D"
+        f" + ({parts['rest_high']} * {2**24}D + {parts['rest_low']}) / {2**62}D"
+        f" + coalesce(CAST({parts['large']} AS DOUBLE), 0D)"
+        f" + coalesce({parts['huge']}, 0D), 0D)"
     )
 
 
+def money_sum(amount: str) -> Column:
+    """Sum of a DOUBLE amount, given as a column name or SQL; 0.0 when there is nothing to add.
+
+    The sum does not depend on task order; see ``money_parts``.
+    """
+    return money_total(money_parts(amount))
+
+
 def purchase_revenue() -> Column:
     return money_sum(f"CASE WHEN event_type = '{PURCHASE}' THEN price END")
 

@@ -9,7 +9,7 @@ reduced before any row is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -31,11 +31,11 @@ from clickloom.vocabulary import PURCHASE, RANK_BY, STAGES, TOP_LIMIT, in_range,
 AsOf = Column | datetime | None
 
 
-def _conversion() -> Column:
+def conversion() -> Column:
     return percent("purchases", "views")
 
 
-def _order_value() -> Column:
+def order_value() -> Column:
     return ratio("revenue", "purchases")
 
 
@@ -49,15 +49,17 @@ def overview(events: DataFrame, window: str = "24h", as_of: AsOf = None, bounded
     )
     return totals.withColumns({
         "aov": ratio("total_revenue", "purchases"),
-        "cvr_pct": _conversion(),
+        "cvr_pct": conversion(),
     })
 
 
-def _stage_rows(events: DataFrame, stages: Sequence[str]) -> DataFrame:
-    """One row per stage with its count, the one before it, the first and the last."""
+def stage_rows(
+    events: DataFrame, stages: Sequence[str], count: Callable[[str], Column] = count_of
+) -> DataFrame:
+    """One row per stage with its count, the one before it, the first and the last; ``count`` is how one is counted."""
     if not stages or len(set(stages)) != len(stages):
         raise ValueError(f"stages must be distinct and not empty, not {list(stages)}")
-    totals = events.agg(F.array(*[count_of(stage) for stage in stages]).alias("n"))
+    totals = events.agg(F.array(*[count(stage) for stage in stages]).alias("n"))
     n = F.col("n")
     rows = [
         F.struct(
@@ -87,7 +89,11 @@ def funnel(
     followed per user, so it can exceed 100. ``overall_cvr_pct`` compares the
     last stage with the first and repeats on each row.
     """
-    rows = _stage_rows(equal_to(in_window(events, window, as_of, bounded), category=category), stages)
+    return funnel_rates(stage_rows(equal_to(in_window(events, window, as_of, bounded), category=category), stages))
+
+
+def funnel_rates(rows: DataFrame) -> DataFrame:
+    """What ``funnel`` returns, from its stages' counts."""
     rates = rows.withColumns({
         "step": percent("count", "previous"),
         "overall": percent("last", "first"),
@@ -109,7 +115,7 @@ def funnel_share(
     bounded: bool = False,
 ) -> DataFrame:
     """Stage counts as a percentage of the first stage; an empty first stage counts as 1."""
-    rows = _stage_rows(equal_to(in_window(events, window, as_of, bounded), category=category), stages)
+    rows = stage_rows(equal_to(in_window(events, window, as_of, bounded), category=category), stages)
     share = F.col("count") / F.greatest("first", F.lit(1))
     return rows.select("stage", "count", (share * 100).alias("share_pct"))
 
@@ -168,7 +174,7 @@ def top_products(
         _sales(in_window(events, window, as_of, bounded), "product_id", "category")
         .orderBy(F.desc(by), "product_id", "category")
         .limit(limit)
-        .withColumn("cvr_pct", _conversion())
+        .withColumn("cvr_pct", conversion())
     )
 
 
@@ -176,7 +182,7 @@ def top_categories(events: DataFrame, window: str = "24h", as_of: AsOf = None, b
     """Every category with its stage counts, best revenue first."""
     return (
         _sales(in_window(events, window, as_of, bounded), "category")
-        .withColumns({"cvr_pct": _conversion(), "aov": _order_value()})
+        .withColumns({"cvr_pct": conversion(), "aov": order_value()})
         .orderBy(F.desc("revenue"), "category")
     )
 

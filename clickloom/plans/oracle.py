@@ -266,6 +266,7 @@ ORACLE: dict[str, str] = {
     "rate_capped_ingest": """
         SELECT count(*) AS row_count, TRUE AS batches_as_capped, TRUE AS several_batches FROM events""",
     "dedup_stream": _WHOLE_TABLE,
+    "unique_ingest": _WHOLE_TABLE,
     "table_by_name": _WHOLE_TABLE,
     "live_minutes": f"""{_EVENTS}
         SELECT {_ISO.format("date_trunc('minute', ts)")} AS bucket, {_STAGES}, count(*) AS total
@@ -289,3 +290,79 @@ for _report, _same in {
 }.items():
     ORACLE[f"report_{_report}"] = ORACLE[_same].replace(_EVENTS, _STORED)
 ORACLE["report_health"] = f"{_STORED} SELECT count(*) AS total_events FROM bound"
+
+# The same rows, from a table with a rollup.
+ORACLE |= {f"rollup_{rolled}": ORACLE[plain] for rolled, plain in {
+    "overview": "overview_30d", "overview_24h": "overview_24h", "timeseries": "timeseries_hour_24h",
+    "funnel": "funnel_category_30d", "top_categories": "top_categories_30d", "revenue": "revenue_day_30d",
+}.items()}
+ORACLE["rollup_distinct"] = f"""{_EVENTS}, past AS (
+        SELECT max(ts) AS moment FROM bound WHERE ts < (SELECT as_of - INTERVAL '7 hours 13 minutes' FROM clock)),
+    windows("window", hours) AS (VALUES ('1h', 1), ('6h', 6), ('24h', 24), ('7d', 168), ('30d', 720))
+    SELECT "window", count(DISTINCT user_id) AS unique_users
+    FROM past, windows LEFT JOIN bound ON ts >= (SELECT moment FROM past) - to_hours(hours) AND ts <= (SELECT moment FROM past)
+    GROUP BY 1"""
+
+_BATCHES = f"""{_EVENTS}, numbered AS (
+        SELECT *, CASE WHEN event_id::BIGINT % 53 = 0 THEN 3
+                       WHEN event_id::BIGINT % 11 = 0 THEN least((day(ts) - 1) // 8 + 1, 3)
+                       ELSE (day(ts) - 1) // 8 END AS batch
+        FROM bound)"""
+
+ORACLE["final_minutes"] = f"""{_BATCHES}, passed AS (
+        SELECT batch, max(max(ts)) OVER (ORDER BY batch) - INTERVAL 60 MINUTE AS mark FROM numbered GROUP BY batch),
+    judged AS (
+        SELECT n.*, date_trunc('minute', ts) AS b, coalesce(date_trunc('minute', ts) + INTERVAL 1 MINUTE <= mark, false) AS late
+        FROM numbered n LEFT JOIN passed p ON p.batch = n.batch - 1)
+    SELECT CASE WHEN late THEN 'late' ELSE 'final' END AS part, {_ISO.format('b')} AS bucket, {_STAGES}, count(*) AS total
+    FROM judged WHERE late OR b + INTERVAL 1 MINUTE <= (SELECT max(mark) FROM passed) GROUP BY 1, 2"""
+
+_JOURNEY = ("signup", "view", "click", "purchase")
+ORACLE["journey_funnel"] = f"""{_EVENTS}, scopes("when", upto) AS (
+        SELECT 'at the end', as_of FROM clock UNION ALL SELECT 'before', as_of - INTERVAL 25 DAY FROM clock),
+    steps AS (
+        SELECT "when", user_id, ts, list_position({list(_JOURNEY)}, event_type) - 1 AS step
+        FROM bound JOIN scopes ON ts <= upto WHERE event_type IN {_JOURNEY}),
+    gaps AS (
+        SELECT *, ts - lag(ts) OVER (PARTITION BY "when", user_id ORDER BY ts, step) > INTERVAL 72 HOUR AS anew FROM steps),
+    walks AS (
+        SELECT *, coalesce(sum(anew::INT) OVER (PARTITION BY "when", user_id ORDER BY ts, step ROWS UNBOUNDED PRECEDING), 0)
+                  AS walk
+        FROM gaps),
+    s0 AS (SELECT "when", user_id, walk, min(ts) AS t FROM walks WHERE step = 0 GROUP BY ALL),
+    {", ".join(f"""s{k} AS (
+        SELECT "when", user_id, walk, min(w.ts) AS t FROM walks w JOIN s{k - 1} USING ("when", user_id, walk)
+        WHERE step = {k} AND w.ts >= t GROUP BY ALL)""" for k in (1, 2, 3))},
+    reached AS ({" UNION ALL ".join(f"""SELECT "when", '{stage}' AS stage, count(*) AS n FROM s{k} GROUP BY ALL"""
+                                      for k, stage in enumerate(_JOURNEY))})
+    SELECT "when", stage, coalesce(n, 0) AS reached
+    FROM scopes CROSS JOIN (SELECT unnest({list(_JOURNEY)}) AS stage) LEFT JOIN reached USING ("when", stage)"""
+
+ORACLE["events_keyset_pages"] = f"""{_EVENTS}, changed AS (
+        SELECT * REPLACE (CASE WHEN event_type <> 'error' THEN 'evt-2024-' || event_id END AS event_id, '' AS category,
+                          CASE WHEN event_id::BIGINT % 2 = 0 THEN TIMESTAMP '2024-01-20 12:00:00' ELSE ts END AS ts)
+        FROM bound),
+    repeated AS (SELECT * FROM changed UNION ALL SELECT * FROM changed WHERE price < 5),
+    placed AS (
+        SELECT *, row_number() OVER (ORDER BY ts DESC, event_id NULLS FIRST, user_id, product_id, event_type, price) AS k
+        FROM repeated WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' AND {_since('30 DAY')}),
+    pages(page, low, high) AS (VALUES ('first', 1, 40), ('next', 41, 80), ('back', 1, 40))
+    SELECT {_LOG}, page FROM placed JOIN pages ON k BETWEEN low AND high"""
+
+ORACLE["progress_table"] = f"SELECT batch_id, row_count, true AS timed FROM ({ORACLE['batch_counts'].strip().rstrip(';')})"
+ORACLE["offset_audit"] = """
+    WITH sent AS (
+        SELECT event_id AS number, (event_id % 3)::INT AS "partition", event_id // 3 AS place,
+               CASE WHEN event_id % 1000 BETWEEN 415 AND 460 THEN 2 ELSE 1 END AS times
+        FROM events WHERE NOT (event_id % 1000 BETWEEN 400 AND 420 OR event_id % 70 = 3)),
+    spans AS (SELECT "partition", min(place) AS low, max(place) AS high FROM sent GROUP BY 1),
+    places AS (SELECT "partition", unnest(range(low, high + 1)) AS place FROM spans),
+    counted AS (
+        SELECT p."partition", p.place, coalesce(s.times, 0) AS times
+        FROM places p LEFT JOIN sent s ON s."partition" = p."partition" AND s.place = p.place),
+    odd AS (
+        SELECT *, place - row_number() OVER (PARTITION BY "partition", times ORDER BY place) AS island
+        FROM counted WHERE times <> 1)
+    SELECT 'events' AS topic, "partition", CASE times WHEN 0 THEN 'lost' ELSE 'doubled' END AS kind,
+           min(place) AS first, max(place) AS last, times::BIGINT AS times
+    FROM odd GROUP BY "partition", times, island"""

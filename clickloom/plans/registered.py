@@ -12,25 +12,30 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.functions.aggregates import money_sum
 from clickloom.functions.predicates import in_window
 from clickloom.functions.times import iso_text, live_start, window_start
-from clickloom.operators import log, metrics, shaping
+from clickloom.operators import keyset, log, metrics, rolled, shaping
 from clickloom.plans.reports import Reports
 from clickloom.sources.fixtures import fixture_events, latest_second
 from clickloom.sources.folding import drop_folded, fold_month
 from clickloom.sources.messages import decode, encode, is_valid, normalize
+from clickloom.sources.rollup import drop_folded_rollup, fold_rollup, roll_up
 from clickloom.sources.scratch import fresh_folder
 from clickloom.sources.streams import read_message_files
 from clickloom.sources.table import batch_counts, read_events, read_table, write_events
-from clickloom.streaming import live
+from clickloom.streaming import journeys, live, minutes
+from clickloom.streaming.offsets import audit
 from clickloom.streaming.pipeline import read_quarantine, start_ingest
+from clickloom.streaming.progress import ProgressTable, read_progress
 from clickloom.vocabulary import PURCHASE, WINDOWS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FIXTURE_STAGES = ("view", "click", "signup", "purchase")
+JOURNEY_STAGES = ("signup", "view", "click", "purchase")
 
 
 def _windowed(
@@ -143,6 +148,25 @@ def _priced(page: DataFrame) -> DataFrame:
     )
 
 
+def _keyset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page behind a moment in mid-window, the next one, and from there back again; ids are missing, rows repeated."""
+    as_of = latest_second(spark, sf_dir)
+    events = _one_hot_second(fixture_events(spark, sf_dir, with_category=False))
+    events = events.withColumn("event_id", F.expr("CASE WHEN event_type <> 'error' THEN event_id END"))
+    events = events.unionByName(events.where("price < 5"))
+    pages, cursor = [], keyset.cursor_at(as_of.replace(day=20, hour=12, minute=0, second=0))
+    for name, backwards in (("first", False), ("next", False), ("back", True)):
+        page = keyset.page_after(events, cursor, 40, backwards, window="30d", as_of=as_of)
+        pages.append(page.drop("cursor").withColumn("page", F.lit(name)))
+        if name != "back":
+            ends = [r.cursor for r in page.select("cursor").collect()]
+            # The next page goes on from the last row; from its first row one goes back.
+            cursor = ends[-1]
+            if name == "next":
+                cursor = ends[0]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 # --- messages and table -----------------------------------------------------
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +253,61 @@ def _report(ask: Callable[[Reports], DataFrame]) -> Query:
     return run
 
 
+# --- table with a rollup -----------------------------------------------------
+
+_ROLLED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def _rolled_store(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """(table, rollup), made once a session: six batches of the fixture, of which one was run twice.
+
+    Batch 1 holds rows from everywhere, so later batches bring older rows. Four
+    batches are folded, in the table and in the rollup, before the last two come.
+    """
+    made = (spark.sparkContext.applicationId, sf_dir)
+    if made not in _ROLLED:
+        folder = fresh_folder(spark, "rolled")
+        table, rollup = f"{folder}/table", f"{folder}/rollup"
+        events = fixture_events(spark, sf_dir)
+        part = F.pmod(F.xxhash64("event_id"), F.lit(6))
+
+        def store(number: int) -> None:
+            write_events(events.where(part == number), table, "batches", number)
+            roll_up(events.where(part == number), rollup, "batches", number)
+
+        for number in (0, 1, 2, 2, 3):
+            store(number)
+        for month in [r.event_month for r in read_table(spark, table).select("event_month").distinct().collect()]:
+            fold_month(spark, table, month)
+            fold_rollup(spark, rollup, month)
+        drop_folded(spark, table)
+        drop_folded_rollup(spark, rollup)
+        store(4)
+        store(5)
+        _ROLLED[made] = table, rollup
+    return _ROLLED[made]
+
+
+def _rolled(operator: Callable[..., DataFrame], window: str, **arguments) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        as_of = latest_second(spark, sf_dir)
+        return operator(spark, *_rolled_store(spark, sf_dir), window, as_of=as_of, **arguments)
+
+    return run
+
+
+def _rolled_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different users of every window, bounded by a moment that later events lie behind."""
+    as_of = latest_second(spark, sf_dir, before=latest_second(spark, sf_dir) - timedelta(hours=7, minutes=13))
+    store = _rolled_store(spark, sf_dir)
+    out = None
+    for window in WINDOWS:
+        one = rolled.unique_users(spark, *store, window, as_of=as_of, bounded=True)
+        one = one.select(F.lit(window).alias("window"), "unique_users")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- streams ----------------------------------------------------------------
 
 def _ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,6 +399,61 @@ def _dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(read_events(spark, f"{folder}/table"))
 
 
+def _progress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per batch as the progress table has them, over a restart."""
+    folder = fresh_folder(spark, "progress")
+    reports = ProgressTable(spark, f"{folder}/reports").attach()
+    try:
+        events = fixture_events(spark, sf_dir, whole_seconds=False)
+        for part in ("price < 50", "price >= 50"):
+            encode(events.where(part)).write.mode("append").text(f"{folder}/in")
+            messages = read_message_files(spark, f"{folder}/in")
+            reports.wait(start_ingest(messages, f"{folder}/table", f"{folder}/checkpoint", every=None))
+    finally:
+        reports.detach()
+    ran = read_progress(spark, f"{folder}/reports").where("input_rows > 0")
+    return ran.select("batch_id", F.col("input_rows").alias("row_count"), (F.col("milliseconds") > 0).alias("timed"))
+
+
+def _offset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of offsets lost and doubled: a partition per remainder of the id, some ids missing, some sent again."""
+    folder = fresh_folder(spark, "offsets")
+    events = fixture_events(spark, sf_dir, with_category=False)
+    sent = encode(events).select("value").withColumn("number", F.get_json_object("value", "$.event_id").cast("bigint"))
+    missing = (F.col("number") % 1000).between(400, 420) | (F.col("number") % 70 == 3)
+    sent = sent.where(~missing)
+    again = sent.where((F.col("number") % 1000).between(415, 460))
+    for part in (sent.where("number % 2000 < 1200"), sent.where("number % 2000 >= 1200").unionByName(again)):
+        numbered = part.select(
+            "value", F.lit("events").alias("topic"), (F.col("number") % 3).cast("int").alias("partition"),
+            F.floor(F.col("number") / 3).alias("offset"),
+        )
+        numbered.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    messages = spark.readStream.schema("value STRING, topic STRING, partition INT, offset BIGINT").option(
+        "maxFilesPerTrigger", 1
+    ).parquet(f"{folder}/in")
+    query = start_ingest(messages, f"{folder}/table", f"{folder}/checkpoint", every=None, offsets=f"{folder}/offsets")
+    query.awaitTermination()
+    return audit(spark, f"{folder}/offsets", str(query.id))
+
+
+def _unique_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages delivered again and again, in one batch and in later ones, before and after a fold, are stored once."""
+    folder = fresh_folder(spark, "unique")
+    events = fixture_events(spark, sf_dir, whole_seconds=False)
+    some = events.where(F.length("event_type") % 3 > 0)
+    for parts in ((some.where("price < 60").unionByName(some.where("price < 20")), some), (events, some)):
+        for part in parts:
+            encode(part).coalesce(1).write.mode("append").text(f"{folder}/in")
+        start_ingest(
+            read_message_files(spark, f"{folder}/in", max_files_per_trigger=1), f"{folder}/table",
+            f"{folder}/checkpoint", every=None, unique=True,
+        ).awaitTermination()
+        for month in read_table(spark, f"{folder}/table").select("event_month").distinct().collect():
+            fold_month(spark, f"{folder}/table", month.event_month)
+    return _as_text(read_events(spark, f"{folder}/table"))
+
+
 def _live_counts(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Count over several batches and a restart, older events after newer ones; (folder, query id)."""
     folder = fresh_folder(spark, "live")
@@ -335,6 +469,59 @@ def _live_counts(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return f"{folder}/counts", query_id
 
 
+def _in_four_batches(spark: SparkSession, sf_dir: str, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> str:
+    """Stream the fixture, eight days to a batch, some events a batch or more too late; restart halfway; the query's id."""
+    events = fixture_events(spark, sf_dir, with_category=False, whole_seconds=False)
+    number = F.col("event_id").cast("bigint")
+    due = F.floor((F.dayofmonth("timestamp") - 1) / 8)
+    batch = F.when(number % 53 == 0, 3).when(number % 11 == 0, F.least(due + 1, F.lit(3))).otherwise(due)
+    query_id = ""
+    for parts in ((0, 1), (2, 3)):
+        for part in parts:
+            encode(events.where(batch == part)).coalesce(1).write.mode("append").text(f"{folder}/in")
+        query = start(normalize(decode(read_message_files(spark, f"{folder}/in", max_files_per_trigger=1))))
+        query.awaitTermination()
+        query_id = str(query.id)
+    return query_id
+
+
+def _final_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes given out when final, and late events by the minute they belong to."""
+    folder = fresh_folder(spark, "final")
+    query_id = _in_four_batches(spark, sf_dir, folder, lambda events: minutes.start_final_minutes(
+        events, f"{folder}/out", f"{folder}/checkpoint", delay_minutes=60, every=None, spread=1, partitions=4,
+    ))
+    final = minutes.final_minutes(spark, f"{folder}/out", query_id).withColumn("part", F.lit("final"))
+    late = minutes.late_events(spark, f"{folder}/out", query_id)
+    late = live.minute_counts(late.drop("batch_id")).withColumn("part", F.lit("late"))
+    both = final.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).unionByName(late)
+    return both.withColumn("bucket", iso_text(F.col("bucket")))
+
+
+def _journey_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often users came to each stage in order of time, idle ones starting anew after three days."""
+    folder = fresh_folder(spark, "journeys")
+    query_id = _in_four_batches(spark, sf_dir, folder, lambda events: journeys.start_running_funnel(
+        events, f"{folder}/out", f"{folder}/checkpoint", stages=JOURNEY_STAGES, delay="25 days", forget_hours=72, every=None, partitions=4,
+    ))
+    first = _journey_totals(spark, folder, query_id)
+    # One more batch with an event far ahead, before which all others can be put in order.
+    ahead = fixture_events(spark, sf_dir, with_category=False).limit(1).withColumns({
+        "event_type": F.lit("end"), "timestamp": F.expr("timestamp + INTERVAL 1000 DAY"),
+    })
+    encode(ahead).coalesce(1).write.mode("append").text(f"{folder}/in")
+    journeys.start_running_funnel(
+        normalize(decode(read_message_files(spark, f"{folder}/in", max_files_per_trigger=1))),
+        f"{folder}/out", f"{folder}/checkpoint", stages=JOURNEY_STAGES, delay="25 days", forget_hours=72, every=None, partitions=4,
+    ).awaitTermination()
+    last = _journey_totals(spark, folder, query_id).withColumn("when", F.lit("at the end"))
+    return last.unionByName(first.withColumn("when", F.lit("before")))
+
+
+def _journey_totals(spark: SparkSession, folder: str, query_id: str) -> DataFrame:
+    return journeys.running_totals(spark, f"{folder}/out", query_id, JOURNEY_STAGES)
+
+
 def _live_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = live.live_minutes(spark, *_live_counts(spark, sf_dir))
     return minutes.withColumn("bucket", iso_text(F.col("bucket")))
@@ -375,6 +562,7 @@ QUERIES: dict[str, Query] = {
     "events_deep_page_null_ids": _of_all(log.list_events, _some_null_ids, limit=50, offset=5000),
     "events_hot_second": _of_all(log.list_events, _one_hot_second, limit=50, offset=4000),
     "revenue_large_amounts": _of_all(metrics.top_categories, _large_amounts),
+    "events_keyset_pages": _keyset_pages,
     "events_filtered": _windowed(
         log.list_events, "30d", with_category=True, raw_user=42,
         limit=50, event_type="purchase", user_id="u_42", category="",
@@ -406,6 +594,13 @@ QUERIES: dict[str, Query] = {
     "report_revenue": _report(lambda r: r.revenue("7d")[1]),
     "report_revenue_totals": _report(lambda r: r.revenue("30d")[0]),
     "report_realtime": _report(lambda r: r.realtime()[1]),
+    "rollup_overview": _rolled(rolled.overview, "30d"),
+    "rollup_overview_24h": _rolled(rolled.overview, "24h"),
+    "rollup_timeseries": _rolled(rolled.timeseries, "24h", bucket="hour"),
+    "rollup_funnel": _rolled(rolled.funnel, "30d", category="promo"),
+    "rollup_top_categories": _rolled(rolled.top_categories, "30d"),
+    "rollup_revenue": _rolled(rolled.revenue, "30d", bucket="day"),
+    "rollup_distinct": _rolled_distinct,
     "ingest_stream": _ingest_stream,
     "quarantine_stream": _quarantine_stream,
     "recovery_stream": _recovery_stream,
@@ -413,6 +608,11 @@ QUERIES: dict[str, Query] = {
     "batch_counts": _batch_counts,
     "rate_capped_ingest": _rate_capped_ingest,
     "dedup_stream": _dedup_stream,
+    "unique_ingest": _unique_ingest,
+    "progress_table": _progress_table,
+    "offset_audit": _offset_audit,
     "live_minutes": _live_minutes,
     "running_funnel": _running_funnel,
+    "final_minutes": _final_minutes,
+    "journey_funnel": _journey_funnel,
 }

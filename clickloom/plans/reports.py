@@ -10,8 +10,10 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickloom.operators import log, metrics
+from clickloom.functions.times import as_of_column, window_start
+from clickloom.operators import keyset, log, metrics
 from clickloom.sources.table import read_events, read_window
 from clickloom.vocabulary import WINDOWS
 
@@ -46,6 +48,18 @@ class Reports:
         as_of = self._moment()
         return log.list_events(self._window(window, as_of), window=window, as_of=as_of, **page)
 
+    def events_after(
+        self, cursor: str | None = None, window: str = "24h", backwards: bool = False, **page
+    ) -> DataFrame:
+        """The log page behind a cursor, or before it; only months on its side of the cursor are read."""
+        as_of = self._moment()
+        since, until = window_start(window, as_of, zoneless=True), None
+        if cursor is not None:
+            moment = keyset.read_cursor(cursor)[1]
+            since, until = (F.greatest(since, as_of_column(moment, zoneless=True)), None) if backwards else (since, moment)
+        events = read_events(self._spark, self._folder, since, until, self._name)
+        return keyset.page_after(events, cursor, backwards=backwards, window=window, as_of=as_of, **page)
+
     def overview(self, window: str = "24h") -> DataFrame:
         as_of = self._moment()
         return metrics.overview(self._window(window, as_of), window, as_of)

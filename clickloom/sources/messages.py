@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from clickloom.vocabulary import EVENT_COLUMNS, EVENT_DDL
 REQUIRED = ("event_id", "timestamp")
 
 
-def decode(messages: DataFrame) -> DataFrame:
-    """Event columns from the JSON text (or bytes) in column ``value``.
+def decode(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Event columns from the JSON text (or bytes) in column ``value``, and columns to ``keep`` before them.
 
     Fields outside the schema are dropped. A field that cannot be read is null,
     and so is every field of a message that is not JSON.
@@ -20,10 +22,10 @@ def decode(messages: DataFrame) -> DataFrame:
     event = F.from_json(F.col("value").cast("string"), EVENT_DDL)
     # Unnested with inline rather than "event.*": a filter on an event column
     # would otherwise be pushed below and parse every message once more.
-    return messages.select(F.inline(F.array(event)))
+    return messages.select(*keep, F.inline(F.array(event)))
 
 
-def decode_flagged(messages: DataFrame) -> DataFrame:
+def decode_flagged(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Event columns, ``raw``, the message's text, and ``valid``, whether it is a usable event.
 
     It is if it has an id and a time and all its fields can be read: unlike in
@@ -32,12 +34,12 @@ def decode_flagged(messages: DataFrame) -> DataFrame:
     never taken for a copy of a good one.
     """
     text = F.col("value").cast("string")
-    decoded = messages.select(text.alias("raw"), F.inline(F.array(F.from_json(text, EVENT_DDL))))
+    decoded = messages.select(*keep, text.alias("raw"), F.inline(F.array(F.from_json(text, EVENT_DDL))))
     # Looked up in the text only where there is no price.
     unreadable = F.col("price").isNull() & F.get_json_object("raw", "$.price").isNotNull()
     valid = is_valid() & ~unreadable
     flagged = decoded.withColumn("valid", valid).withColumn("event_id", F.when(F.col("valid"), F.col("event_id")))
-    return flagged.select(*EVENT_COLUMNS, "raw", "valid")
+    return flagged.select(*keep, *EVENT_COLUMNS, "raw", "valid")
 
 
 def normalize(events: DataFrame) -> DataFrame:

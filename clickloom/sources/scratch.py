@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +26,19 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """The path of a folder nobody has used yet; Spark creates it when writing."""
     return f"{shared_root(spark).rstrip('/')}/clickloom-{purpose}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies; it need not exist."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, purpose: str) -> Iterator[str]:
+    """A fresh folder that is deleted at the end of the ``with`` block."""
+    path = fresh_folder(spark, purpose)
+    try:
+        yield path
+    finally:
+        delete_folder(spark, path)

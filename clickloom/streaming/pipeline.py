@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from clickloom.functions.times import month_key
+from clickloom.sources.ids import batch_rows, without_copies, write_filter
 from clickloom.sources.messages import decode, decode_flagged, normalize
+from clickloom.sources.rollup import roll_up
 from clickloom.sources.table import add_partitions, create_events_table, define_events_table, write_events
 from clickloom.streaming.dedup import suppress_duplicates
+from clickloom.streaming.offsets import file_ranges
 
 log = logging.getLogger(__name__)
 
 TRIGGER = "10 seconds"
+SOURCE_COLUMNS = ("topic", "partition", "offset")
 QUARANTINE_DDL = "raw STRING, ingest_id STRING, batch_id BIGINT"
 
 
@@ -50,6 +54,9 @@ def start_table_sink(
     on_batch: Callable[[int, int], None] | None = None,
     name: str | None = None,
     quarantine: str | None = None,
+    rollup: str | None = None,
+    unique: bool = False,
+    offsets: str | None = None,
 ) -> StreamingQuery:
     """Write a normalised event stream into the table, one write job per micro-batch.
 
@@ -64,7 +71,13 @@ def start_table_sink(
     ``quarantine``, a folder, the stream also has the columns ``raw`` and
     ``valid`` of ``decode_flagged``: rows that are not valid go there as text,
     not into the table. Such a batch is kept, on disk where memory is short,
-    while it is written to both, so that it is read and parsed once.
+    while it is written to both, so that it is read and parsed once. With
+    ``rollup``, a folder, the batch's share of the hourly rollup is written after
+    its rows, from a kept batch as well; see ``sources.rollup``. With ``unique``
+    an event whose id any batch has stored is left out, however long ago that
+    was; see ``sources.ids``. One such ingest at a time may extend a table. With
+    ``offsets``, a folder, the stream also has the columns topic, partition and
+    offset, whose ranges are kept there per batch; see ``streaming.offsets``.
     """
     if name is not None:
         define_events_table(events.sparkSession, name, path)
@@ -73,16 +86,40 @@ def start_table_sink(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         started.wait()
-        if quarantine is None:
+        if quarantine is None and rollup is None and offsets is None and not unique:
             store(batch, batch_id)
             return
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            _write_quarantine(batch.where("NOT valid"), quarantine, ingest["id"], batch_id)
-            store(batch.where("valid").drop("raw", "valid"), batch_id)
+            events = batch
+            if offsets is not None:
+                file_ranges(batch, offsets, ingest["id"], batch_id)
+                events = events.drop(*SOURCE_COLUMNS)
+            if quarantine is not None:
+                _write_quarantine(batch.where("NOT valid"), quarantine, ingest["id"], batch_id)
+                events = events.where("valid").drop("raw", "valid")
+            if unique:
+                with without_copies(events, path, ingest["id"], batch_id) as fresh:
+                    fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+                    if fresh.isEmpty():
+                        # Nothing to write, and nothing that could be counted on the way.
+                        tell(batch_id, 0)
+                    else:
+                        store_all(fresh, batch_id)
+                    fresh.unpersist()
+            else:
+                store_all(events, batch_id)
         finally:
             batch.unpersist()
 
+    def store_all(events: DataFrame, batch_id: int) -> None:
+        store(events, batch_id)
+        if unique:
+            spark = events.sparkSession
+            write_filter(batch_rows(spark, path, ingest["id"], batch_id), path, ingest["id"], batch_id)
+        if rollup is not None:
+            roll_up(events, rollup, ingest["id"], batch_id)
+
     def store(batch: DataFrame, batch_id: int) -> None:
         counted = Observation()
         months = F.collect_set(month_key(F.col("timestamp"))).alias("months")
@@ -95,6 +132,9 @@ def start_table_sink(
             ingest["seen"] = "all"
         elif name is not None:
             add_partitions(batch.sparkSession, name, sorted(counted.get["months"]), ingest["id"], batch_id)
+        tell(batch_id, row_count)
+
+    def tell(batch_id: int, row_count: int) -> None:
         log.info("stored batch %d of about %d events", batch_id, row_count)
         if on_batch is not None:
             on_batch(batch_id, row_count)
@@ -115,6 +155,9 @@ def start_ingest(
     unique_within: str | None = None,
     name: str | None = None,
     quarantine: str | None = None,
+    rollup: str | None = None,
+    unique: bool = False,
+    offsets: str | None = None,
 ) -> StreamingQuery:
     """Decode, normalise and store a message stream.
 
@@ -122,9 +165,17 @@ def start_ingest(
     given as ``quarantine``, set aside there as they came. With
     ``unique_within``, an interval such as "10 minutes", further copies of an
     event arriving within that time are left out; see ``suppress_duplicates``.
-    ``name`` keeps the table complete under its registered name.
+    ``name`` keeps the table complete under its registered name, ``rollup`` an
+    hourly rollup beside it. ``unique`` leaves out copies of events stored at any
+    time before; the two can be used together, as the interval spares the
+    table's filters the copies that follow closely. ``offsets`` keeps the ranges
+    of source offsets for an audit, of messages as they come; it cannot be used
+    with ``unique_within``, which drops messages on the way.
     """
-    events = decode(messages) if quarantine is None else decode_flagged(messages)
+    if offsets is not None and unique_within is not None:
+        raise ValueError("offsets cannot be audited behind unique_within; use unique")
+    keep = SOURCE_COLUMNS if offsets is not None else ()
+    events = decode(messages, keep) if quarantine is None else decode_flagged(messages, keep)
     if unique_within is not None:
         events = suppress_duplicates(events, unique_within)
-    return start_table_sink(normalize(events), path, checkpoint, every, on_batch, name, quarantine)
+    return start_table_sink(normalize(events), path, checkpoint, every, on_batch, name, quarantine, rollup, unique, offsets)

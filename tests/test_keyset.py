@@ -1,0 +1,120 @@
+"""Pages by cursor: whole walks in both directions, with ties, missing ids, equal rows, and rows that come in meanwhile."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from events import AS_OF, SCHEMA
+
+from clickloom.operators import keyset
+from clickloom.operators.keyset import cursor_at, page_after, read_cursor
+from clickloom.operators.log import list_events
+from clickloom.plans.reports import Reports
+from clickloom.sources.scratch import fresh_folder
+from clickloom.sources.table import read_events, write_events
+
+NAN = float("nan")
+
+
+def rows():
+    out = []
+    for n in range(60):
+        at = AS_OF - timedelta(seconds=7 * (n // 6), hours=n // 20)
+        out.append((None if n % 5 == 0 else "" if n % 7 == 0 else f"e{n % 9}", "view", f"u{n % 3}", "p", NAN if n % 11 == 0 else n % 4 * 0.1, at, "c", ""))
+    return out + [out[10]] * 13 + [out[41]] * 5 + [(None, "view", None, None, None, AS_OF - timedelta(seconds=14), None, None)] * 3
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3).cache()
+
+
+def plain(collected):
+    return [str(tuple(r)[:8]) for r in collected]
+
+
+@pytest.fixture(scope="module")
+def log(frame):
+    return plain(list_events(frame, limit=1000, as_of=AS_OF).collect())
+
+
+@pytest.mark.parametrize("limit", [4, 9])
+def test_walks_meet_every_row_once(frame, log, limit):
+    seen, cursor, back = [], None, None
+    while page := page_after(frame, cursor, limit, as_of=AS_OF).collect():
+        seen += plain(page)
+        cursor = page[-1].cursor
+    assert seen == log
+    again, cursor = [], None
+    while page := page_after(frame, cursor, limit, backwards=True, as_of=AS_OF).collect():
+        assert len(page) == limit or len(again) + len(page) == len(log)
+        again = plain(page) + again
+        back, cursor = cursor, page[0].cursor
+    assert again == log and back is not None
+
+
+def test_rows_that_come_in_meanwhile(frame, spark, log):
+    first = page_after(frame, None, 10, as_of=AS_OF).collect()
+    newer = spark.createDataFrame([("new", "view", "u", "p", 1.0, AS_OF, "c", "")] * 4, SCHEMA)
+    after = page_after(frame.unionByName(newer), first[-1].cursor, 10, as_of=AS_OF).collect()
+    assert plain(first + after) == log[:20]
+
+
+def test_filters_and_moments(frame):
+    moment = AS_OF - timedelta(hours=1, seconds=42)
+    page = page_after(frame, cursor_at(moment), 5, user_id="u1", as_of=AS_OF).collect()
+    whole = [r for r in list_events(frame, limit=1000, user_id="u1", as_of=AS_OF).collect() if r.timestamp <= moment.isoformat()]
+    assert plain(page) == plain(whole[:5]) and len(page) == 5
+    before = page_after(frame, cursor_at(moment), 3, backwards=True, user_id="u1", as_of=AS_OF).collect()
+    newer = [r for r in list_events(frame, limit=1000, user_id="u1", as_of=AS_OF).collect() if r.timestamp > moment.isoformat()]
+    assert plain(before) == plain(newer[-3:])
+
+
+@pytest.mark.parametrize("cursor", ["", "nonsense", "e30=", "bm90IGpzb24=", "eyJhZ2UiOiAieCIsICJjb3B5IjogMX0="])
+def test_what_is_no_cursor(frame, cursor):
+    with pytest.raises(ValueError):
+        page_after(frame, cursor, as_of=AS_OF)
+
+
+def test_cursors_read_back():
+    assert read_cursor(cursor_at(AS_OF))[1:] == (AS_OF, 0)
+    assert read_cursor(cursor_at(datetime(1969, 12, 31, 23)))[1] == datetime(1969, 12, 31, 23)
+
+
+def test_depth_costs_nothing(spark, monkeypatch):
+    """The scan of a page deep in the log is bounded on both sides by pushed times, whatever lies in front."""
+    folder = fresh_folder(spark, "keyset")
+    events = spark.range(0, 200_000, 1, 4).selectExpr(
+        "CAST(id AS STRING) event_id", "'view' event_type", "concat('u', id % 70) user_id", "'p' product_id", "1D price",
+        "TIMESTAMP_NTZ '2024-05-01 12:00:00' - make_dt_interval(0, 0, 0, id * 10) AS timestamp", "'c' category", "'' ip_address",
+    )
+    write_events(events, folder, "a")
+    stored = read_events(spark, folder)
+    for days in (1, 20):
+        moment = AS_OF - timedelta(days=days)
+        page = page_after(stored, cursor_at(moment), 50, window="30d", as_of=AS_OF)
+        assert [r.event_id for r in page.select("event_id").collect()] == [str(days * 8640 + i) for i in range(50)]
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        low = (moment - timedelta(hours=1)).isoformat(timespec="minutes")
+        scans = [line for line in plan.split("\n") if "FileScan" in line]
+        at = moment.isoformat(timespec="minutes")
+        low, high = f"GreaterThanOrEqual(timestamp,{low}", f"LessThanOrEqual(timestamp,{at}"
+        assert scans and all(f"EqualTo(timestamp,{at}" in s or low in s and high in s for s in scans)
+    monkeypatch.setattr(keyset, "_STRETCHES", 0)
+    looked = page_after(stored, cursor_at(AS_OF - timedelta(days=20)), 50, window="30d", as_of=AS_OF).collect()
+    assert [r.event_id for r in looked] == [str(20 * 8640 + i) for i in range(50)]
+
+
+def test_reports_read_no_other_months(spark):
+    folder = fresh_folder(spark, "keyset")
+    rows = [(f"e{d}", "view", "u", "p", 1.0, AS_OF - timedelta(days=d), "c", "") for d in range(60)]
+    write_events(spark.createDataFrame(rows, SCHEMA), folder, "a")
+    reports = Reports(spark, folder, AS_OF)
+    first = reports.events_after(window="30d", limit=10).collect()
+    assert [r.event_id for r in first] == [f"e{d}" for d in range(10)]
+    page = reports.events_after(first[-1].cursor, window="30d", limit=10)
+    assert [r.event_id for r in page.collect()] == [f"e{d}" for d in range(10, 20)]
+    back = reports.events_after(page.first().cursor, window="30d", limit=10, backwards=True)
+    assert [r.event_id for r in back.collect()] == [f"e{d}" for d in range(10)]
+    scans = [s for s in page._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in s]
+    filters = [s[s.index("PartitionFilters"):s.index("PushedFilters")] for s in scans]
+    assert all("event_month" in f and ">= 202404" in f and "<= 202404" in f for f in filters)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from clickloom.sources.scratch import fresh_folder
 
@@ -55,6 +56,28 @@ def settle(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
+def row_hash(frame: DataFrame, columns: list[str]) -> Column:
+    """A hash of whole rows, whatever their types: maps, which have no hash, go in as JSON, sorted by key."""
+
+    def has_map(kind: DataType) -> bool:
+        if isinstance(kind, StructType):
+            return any(has_map(field.dataType) for field in kind)
+        return isinstance(kind, (MapType, VariantType)) or isinstance(kind, ArrayType) and has_map(kind.elementType)
+
+    def hashable(name: str) -> Column:
+        kind = frame.schema[name].dataType
+        if not has_map(kind):
+            return F.col(name)
+        value = F.col(name)
+        if isinstance(kind, MapType) and not has_map(kind.keyType):
+            entries = F.map_entries(name)
+            # Entries with values that cannot be compared stay as they are.
+            value = entries if has_map(kind.valueType) else F.array_sort(entries)
+        return F.to_json(F.struct(value.alias("value")))
+
+    return F.xxhash64(*map(hashable, columns))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import numbered, pick, restore, settle
+from clickloom.llm.common import numbered, pick, restore, row_hash, settle
 from clickloom.sources.scratch import fresh_folder
 
-# Set by the size the index will have: a bucket is one sort unit of a task.
-BUCKETS = 64
+# A bucket is one sort unit of a task: an index made for a table has one per so many rows, and at least BUCKETS.
+BUCKETS, ROWS_PER_BUCKET = 64, 1 << 20
 
 
 def digest(text: Column) -> Column:
@@ -28,17 +29,40 @@ def digest(text: Column) -> Column:
     return F.coalesce(hashed, F.lit(b""))
 
 
+def _beside(folder: str) -> str:
+    return folder.rstrip("/") + "-buckets"
+
+
+def _kept_buckets(spark: SparkSession, folder: str) -> int | None:
+    try:
+        return spark.read.schema("buckets INT").parquet(_beside(folder)).first()["buckets"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 class DigestIndex:
     """Digests seen so far, each with the id of the document that stays.
 
     ``folder`` holds the table and outlives the session; opening it again goes
     on where the last one ended. Of one batch's equal texts the largest id
-    stays; a text that the index already has stays with its first batch.
+    stays; a text that the index already has stays with its first batch. The
+    number of buckets is fixed when a folder is first used and kept beside it;
+    opening it with another number raises, without one takes it from there.
+    ``close`` takes the table out of the session's catalog; its files stay.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
         self._spark = spark
-        self._buckets = buckets
+        kept = _kept_buckets(spark, folder)
+        if kept is None:
+            kept = BUCKETS if buckets is None else buckets
+            beside = spark.range(1).select(F.lit(kept).alias("buckets"))
+            beside.coalesce(1).write.parquet(_beside(folder))
+        elif buckets not in (None, kept):
+            raise ValueError(f"the index in {folder} has {kept} buckets, not {buckets}")
+        self._buckets = buckets = kept
         self._table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self._table} (digest BINARY, keep_id BIGINT) USING parquet "
@@ -48,6 +72,9 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self._spark.table(self._table)
 
+    def close(self) -> None:
+        self._spark.sql(f"DROP TABLE IF EXISTS {self._table}")
+
     def unseen(self, digests: DataFrame) -> DataFrame:
         """One row (digest, keep_id) per digest that the index does not have."""
         batch = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
@@ -73,8 +100,15 @@ def index_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     The larger half of the ids arrives before the smaller one, so that the
     largest id of equal texts is the one in the index.
     """
+    return _indexed(_digests(docs), index)
+
+
+def _digests(docs: DataFrame) -> DataFrame:
     rows = pick(docs, doc_id="doc_id", text="text").select("doc_id", digest(F.col("text")).alias("digest"))
-    rows = settle(rows, "digests")
+    return settle(rows, "digests")
+
+
+def _indexed(rows: DataFrame, index: DigestIndex) -> DataFrame:
     middle = rows.agg(F.percentile_approx("doc_id", 0.5).alias("m")).first()["m"]
     early = F.coalesce(F.col("doc_id") >= F.lit(middle), F.lit(False))
     index.append(rows.where(early))
@@ -91,13 +125,20 @@ def verdicts(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     empty. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, fresh_folder(spark, "digest-index"))
-    rows = index_documents(docs, index)
+    rows = _digests(docs)
+    own = index is None
+    if own:
+        # A bucket is a task's share of the joins with the index, so there are as many as shuffles have at least.
+        buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_BUCKET))
+        index = DigestIndex(spark, fresh_folder(spark, "digest-index"), buckets)
+    _indexed(rows, index)
     ids = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("repeats"))
     sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
-    groups = sizes.join(index.read().hint("merge"), "digest")
     # Settled, so that a digest with very many ids can be split over tasks.
-    judged = ids.join(settle(groups, "groups"), "digest")
+    groups = settle(sizes.join(index.read().hint("merge"), "digest"), "groups")
+    if own:
+        index.close()
+    judged = ids.join(groups, "digest")
     return judged.select(
         "doc_id", "digest", "keep_id", "group_size",
         F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("copy"),
@@ -121,6 +162,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     sole = against(rows, repeated.where(~F.col("kept") | (F.col("n") > 1)), "left_anti")
     several = against(rows, repeated.where(F.col("kept") & (F.col("n") > 1)), "left_semi")
-    alike = W.partitionBy("digest", "doc_id").orderBy(F.xxhash64(*[f"_{i}" for i in range(len(names))]))
+    alike = W.partitionBy("digest", "doc_id").orderBy(row_hash(rows, [f"_{i}" for i in range(len(names))]))
     one = several.withColumn("rank", F.row_number().over(alike)).where("rank = 1").drop("rank")
     return restore(sole.unionByName(one), names)

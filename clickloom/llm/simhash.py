@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import numbered, pick, restore, settle, word_blocks
+from clickloom.llm.common import numbered, pick, restore, row_hash, settle, word_blocks
 from clickloom.llm.graph import components
 
 SHINGLE = 3
@@ -297,6 +297,6 @@ def representatives(docs: DataFrame, **settings) -> DataFrame:
         same = rows["doc_id"].eqNullSafe(ids["kept_id"]) & (rows["text_hash"] == ids["kept_hash"])
         return rows.join(ids, same, "left_semi")
 
-    repeated = W.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64(*[f"_{i}" for i in range(len(names))]))
+    repeated = W.partitionBy("doc_id", "text_hash").orderBy(row_hash(rows, [f"_{i}" for i in range(len(names))]))
     several = among(chosen.where("n > 1")).withColumn("rank", F.row_number().over(repeated))
     return restore(among(chosen.where("n = 1")).unionByName(several.where("rank = 1").drop("rank")), names)

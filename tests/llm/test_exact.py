@@ -8,7 +8,7 @@ from awkward import AWKWARD
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from clickloom.llm import chat, exact_dedup, mixing
+from clickloom.llm import chat, exact_dedup, mixing, simhash
 from clickloom.llm.queries import LLM_ORACLE, LLM_QUERIES
 from clickloom.sources.scratch import fresh_folder
 
@@ -110,3 +110,42 @@ def test_chat_of_awkward_rows(spark):
         2: [("assistant", "x" * 300_000)],
     }
     assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_index_keeps_its_number_of_buckets(spark):
+    folder = fresh_folder(spark, "t")
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    rows = docs.select("doc_id", exact_dedup.digest(docs.text).alias("digest"))
+    exact_dedup.DigestIndex(spark, folder, 4).append(rows)
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, folder, 8)
+    again = exact_dedup.DigestIndex(spark, folder)
+    assert again.unseen(rows).count() == 0
+    again.append(rows)
+    assert again.read().count() == 200
+    again.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(again._table)]
+
+
+def test_index_of_many_buckets(spark):
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "concat('text ', id % 1000) AS text")
+    index = exact_dedup.DigestIndex(spark, fresh_folder(spark, "t"), 1024)
+    judged = exact_dedup.verdicts(docs, index)
+    assert judged.where("kept").count() == 1000 and judged.where("kept AND doc_id < 2000").count() == 0
+
+
+NESTED = {
+    "m": "map('b', 2, 'a', doc_id)", "am": "array(map(1, text))", "sm": "struct(map('k', map('i', 1)) AS deep)",
+    "mm": "map('a', map('b', 1))", "a": "array(1, 2)", "s": "struct(1 AS x)", "n": "null",
+}
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.deduplicate, simhash.representatives])
+def test_extra_columns_of_any_type(documents, keep):
+    rows = [(1, "same words here"), (1, "same words here"), (2, "same words here"), (3, "quite another text of some words")]
+    frame = documents(rows)
+    for name, sql in NESTED.items():
+        frame = frame.selectExpr("*", f"{sql} AS {name}")
+    kept = keep(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == ([2, 3] if keep is exact_dedup.deduplicate else [1, 3])

@@ -296,6 +296,7 @@ ORACLE |= {f"rollup_{rolled}": ORACLE[plain] for rolled, plain in {
     "overview": "overview_30d", "overview_24h": "overview_24h", "timeseries": "timeseries_hour_24h",
     "funnel": "funnel_category_30d", "top_categories": "top_categories_30d", "revenue": "revenue_day_30d",
 }.items()}
+ORACLE |= {"user_layout_summaries": ORACLE["user_summaries_30d"], "user_layout_events": ORACLE["user_events_limited"]}
 ORACLE["rollup_distinct"] = f"""{_EVENTS}, past AS (
         SELECT max(ts) AS moment FROM bound WHERE ts < (SELECT as_of - INTERVAL '7 hours 13 minutes' FROM clock)),
     windows("window", hours) AS (VALUES ('1h', 1), ('6h', 6), ('24h', 24), ('7d', 168), ('30d', 720))

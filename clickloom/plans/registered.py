@@ -8,7 +8,7 @@ own, and return what they stored.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from clickloom.sources.rollup import drop_folded_rollup, fold_rollup, roll_up
 from clickloom.sources.scratch import fresh_folder
 from clickloom.sources.streams import read_message_files
 from clickloom.sources.table import batch_counts, read_events, read_table, write_events
+from clickloom.sources.users import UserLayout
 from clickloom.streaming import journeys, live, minutes
 from clickloom.streaming.offsets import audit
 from clickloom.streaming.pipeline import read_quarantine, start_ingest
@@ -237,10 +238,13 @@ def _folded_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(read_events(spark, path))
 
 
-def _report(ask: Callable[[Reports], DataFrame]) -> Query:
-    """A report over a stored table of two months: the fixture, and once more 30 days earlier."""
+_REPORTED: dict[tuple[str, str], str] = {}
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _reported_table(spark: SparkSession, sf_dir: str) -> str:
+    """A stored table of two months, made once a session: the fixture, and once more 30 days earlier."""
+    made = (spark.sparkContext.applicationId, sf_dir)
+    if made not in _REPORTED:
         folder = fresh_folder(spark, "report")
         events = fixture_events(spark, sf_dir)
         earlier = events.withColumns({
@@ -248,7 +252,13 @@ def _report(ask: Callable[[Reports], DataFrame]) -> Query:
             "timestamp": F.expr("timestamp - INTERVAL '30' DAY"),
         })
         write_events(events.unionByName(earlier), folder, ingest_id="report")
-        return ask(Reports(spark, folder, as_of=latest_second(spark, sf_dir)))
+        _REPORTED[made] = folder
+    return _REPORTED[made]
+
+
+def _report(ask: Callable[[Reports], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return ask(Reports(spark, _reported_table(spark, sf_dir), as_of=latest_second(spark, sf_dir)))
 
     return run
 
@@ -308,6 +318,20 @@ def _rolled_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _user_layout(ask: Callable[[UserLayout, datetime], DataFrame]) -> Query:
+    """Over the store's folded months copied by user, and two batches that came since."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table, _ = _rolled_store(spark, sf_dir)
+        name = "events_" + table.rstrip("/").split("/")[-2].rpartition("-")[2]
+        layout = UserLayout(spark, name, table, buckets=8)
+        for month in [r.event_month for r in read_table(spark, table).select("event_month").distinct().collect()]:
+            layout.write_month(month)
+        return ask(layout, latest_second(spark, sf_dir))
+
+    return run
+
+
 # --- streams ----------------------------------------------------------------
 
 def _ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -601,6 +625,10 @@ QUERIES: dict[str, Query] = {
     "rollup_top_categories": _rolled(rolled.top_categories, "30d"),
     "rollup_revenue": _rolled(rolled.revenue, "30d", bucket="day"),
     "rollup_distinct": _rolled_distinct,
+    "user_layout_summaries": _user_layout(lambda layout, as_of: layout.summaries("30d", as_of)),
+    "user_layout_events": _user_layout(
+        lambda layout, as_of: log.user_events(layout.of_user("u_42"), "u_42", "30d", as_of, limit=5)
+    ),
     "ingest_stream": _ingest_stream,
     "quarantine_stream": _quarantine_stream,
     "recovery_stream": _recovery_stream,

@@ -28,6 +28,11 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/clickloom-{purpose}-{uuid.uuid4().hex}"
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it lies; it need not exist."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,24 +14,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import pick
+from clickloom.llm.common import pick, settle
 from clickloom.llm.wordhash import mixed
 
 GRAM = 3
 # Learning reads about this many documents per language, chosen by a hash of their id.
 DOCS_PER_LANGUAGE = 3_000
-# An n-gram belongs to a language if it is at least one in so many of its n-grams
-# (so a language has no more n-grams than that) ...
-RAREST = 50_000
-# ... and at least this share of what it is in the language that uses it most.
+# A language's n-grams are its most frequent ones that make up this share of its text,
+# whatever the size of its alphabet ...
+MASS = 0.98
+# ... of which each is at least this share of what it is in the language that uses it most.
 RELATIVE = 0.25
 HASHES = 3
-# The table has at most this many slots, of eight bytes per 64 languages.
-MOST_SLOTS = 1 << 21
-MOST_LANGUAGES = 256
+# The table has at most this many slots, of eight bytes per 64 languages, and fewer where it would
+# take more bytes; more false positives are then taken off. So a filter's size is bounded for any
+# number of n-grams, and grows only with the languages once it has the fewest slots.
+MOST_SLOTS, FEWEST_SLOTS, MOST_BYTES = 1 << 21, 1 << 12, 1 << 25
 HELD_OUT = 2
 UNKNOWN = "und"
 
@@ -83,6 +85,25 @@ def _stretches(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def _words(languages: int) -> int:
+    return (languages + 63) // 64
+
+
+def table_size(members: int, languages: int) -> int:
+    """Slots for so many n-grams of so many languages: a power of two."""
+    size = min(MOST_SLOTS, 1 << (8 * max(1, members)).bit_length())
+    while size > FEWEST_SLOTS and size * 8 * _words(languages) > MOST_BYTES:
+        size //= 2
+    return size
+
+
+def slots_of(gram: Column, size: int) -> Column:
+    """The slots of an n-gram's hash, as ``LanguageFilter`` finds them."""
+    step = F.shiftrightunsigned(gram, 40).bitwiseOR(F.lit(1))
+    low = gram.bitwiseAND(F.lit(size - 1))
+    return F.array_distinct(F.array(*[(low + F.lit(i) * step).bitwiseAND(F.lit(size - 1)) for i in range(HASHES)]))
+
+
 @dataclass
 class LanguageFilter:
     """Languages in code point order, the table of slots, and each slice's chance of a false positive."""
@@ -94,15 +115,19 @@ class LanguageFilter:
 
     @classmethod
     def build(cls, languages: list[str], members: list[np.ndarray], usual: str) -> LanguageFilter:
-        total = max(1, sum(map(len, members)))
-        size = min(MOST_SLOTS, 1 << (8 * total).bit_length())
-        slots = np.zeros((size, (len(languages) + 63) // 64), np.uint64)
+        """A filter of the n-gram hashes that each language has."""
+        slots = np.zeros((table_size(sum(map(len, members)), len(languages)), _words(len(languages))), np.uint64)
         for number, own in enumerate(members):
             bit = np.uint64(1 << (number % 64))
-            for where in cls._where(own, size):
+            for where in cls._where(own, len(slots)):
                 np.bitwise_or.at(slots[:, number // 64], where, bit)
+        return cls.of(languages, slots, usual)
+
+    @classmethod
+    def of(cls, languages: list[str], slots: np.ndarray, usual: str) -> LanguageFilter:
         fill = [
-            float(np.count_nonzero(slots[:, i // 64] & np.uint64(1 << (i % 64)))) / size for i in range(len(languages))
+            float(np.count_nonzero(slots[:, i // 64] & np.uint64(1 << (i % 64)))) / len(slots)
+            for i in range(len(languages))
         ]
         return cls(languages, slots, np.array(fill) ** HASHES, usual)
 
@@ -153,13 +178,12 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Langua
     """The filter, from labelled documents outside the held-out fold; None if there are none.
 
     About ``docs_per_language`` documents of each language, chosen by a hash of
-    their id, are read. The n-grams that reach the driver are at most ``RAREST``
-    per language.
+    their id, are read. Any number of languages can be learned. The table of
+    slots is made on the executors; the driver gets its slots that are not
+    empty, whose number is bounded, and the languages' names.
     """
     rows = _rows(docs).where("NOT held_out AND lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
@@ -183,18 +207,29 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Langua
                     )
 
     counted = sample.mapInArrow(count, "language int, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    counted = counted.persist()
-    totals = counted.groupBy("language").agg(F.sum("n").alias("total"))
-    shares = counted.join(F.broadcast(totals), "language").withColumn("share", F.col("n") / F.col("total"))
-    common = shares.where(F.col("share") >= 1.0 / RAREST).select("language", "gram", "share").toPandas()
-    counted.unpersist()
-    most = common.groupby("gram")["share"].transform("max")
-    common = common[common["share"] >= RELATIVE * most]
-    members = [
-        common.loc[common["language"] == i, "gram"].to_numpy(np.int64).view(np.uint64) for i in range(len(languages))
-    ]
+    members = settle(_members(settle(counted, "language-grams")), "language-members")
+    size = table_size(members.count(), len(languages))
+    bits = members.select(
+        F.explode(slots_of(F.col("gram"), size)).alias("slot"), F.expr("language DIV 64").cast("int").alias("word"),
+        F.expr("shiftleft(1L, language % 64)").alias("bit"),
+    )
+    filled = bits.groupBy("slot", "word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    slots = np.zeros((size, _words(len(languages))), np.uint64)
+    slots[filled["slot"].to_numpy(), filled["word"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
     usual = min(languages, key=lambda language: (-sizes[language], language))
-    return LanguageFilter.build(languages, members, usual)
+    return LanguageFilter.of(languages, slots, usual)
+
+
+def _members(counted: DataFrame) -> DataFrame:
+    """(language, gram): the n-grams that count as a language's, from (language, gram, n)."""
+    totals = counted.groupBy("language").agg(F.sum("n").alias("total")).withColumnRenamed("language", "of")
+    shares = counted.join(totals, F.col("language") == F.col("of")).withColumn("share", F.col("n") / F.col("total"))
+    # A language's n-grams are those of its sample, so they can be sorted together.
+    order = W.partitionBy("language").orderBy(F.desc("n"), "gram").rowsBetween(W.unboundedPreceding, -1)
+    common = shares.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    common = common.where(F.col("before") < MASS * F.col("total"))
+    most = F.max("share").over(W.partitionBy("gram"))
+    return common.withColumn("most", most).where(F.col("share") >= RELATIVE * F.col("most")).select("language", "gram")
 
 
 def identify(docs: DataFrame, model: LanguageFilter | None = None) -> DataFrame:

@@ -150,3 +150,34 @@ def test_leaks_of_awkward_rows(spark, awkward, nothing, monkeypatch):
     assert decontaminate.leaks(nothing, benchmark).count() == decontaminate.remove_leaked(nothing, benchmark).count() == 0
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 1)
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(awkward, benchmark).collect()) == wanted
+
+
+def test_three_hundred_languages(spark):
+    """Each language has an alphabet of its own letters, some shared with its neighbour."""
+    rng = random.Random(3)
+    rows = []
+    for number in range(300):
+        letters = [chr(0x4E00 + 20 * number + i) for i in range(28)]
+        for _ in range(8):
+            words = ["".join(rng.choices(letters, k=rng.randrange(2, 6))) for _ in range(60)]
+            rows.append((len(rows), " ".join(words), f"l{number:03}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+
+
+def test_slots_in_spark_are_those_of_the_filter(spark):
+    rng = np.random.default_rng(2)
+    hashed = rng.integers(0, 1 << 64, 500, dtype=np.uint64)
+    frame = spark.createDataFrame([(int(h),) for h in hashed.view(np.int64)], "gram long")
+    for size in (1 << 12, 1 << 21):
+        got = [set(r[0]) for r in frame.select(language_id.slots_of(F.col("gram"), size)).collect()]
+        wanted = list(zip(*language_id.LanguageFilter._where(hashed, size)))
+        assert got == [set(map(int, w)) for w in wanted]
+
+
+def test_a_filter_is_bounded_in_size():
+    for members, languages in ((10**9, 1), (10**9, 300), (10**7, 5_000)):
+        size = language_id.table_size(members, languages)
+        assert size * 8 * ((languages + 63) // 64) <= language_id.MOST_BYTES or size == language_id.FEWEST_SLOTS
+    assert language_id.table_size(0, 4) >= 8

@@ -221,13 +221,20 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Langua
 
 
 def _members(counted: DataFrame) -> DataFrame:
-    """(language, gram): the n-grams that count as a language's, from (language, gram, n)."""
-    totals = counted.groupBy("language").agg(F.sum("n").alias("total")).withColumnRenamed("language", "of")
-    shares = counted.join(totals, F.col("language") == F.col("of")).withColumn("share", F.col("n") / F.col("total"))
-    # A language's n-grams are those of its sample, so they can be sorted together.
-    order = W.partitionBy("language").orderBy(F.desc("n"), "gram").rowsBetween(W.unboundedPreceding, -1)
-    common = shares.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    common = common.where(F.col("before") < MASS * F.col("total"))
+    """(language, gram): the n-grams that count as a language's, from (language, gram, n).
+
+    Which frequency a language's n-grams must have follows from how many
+    n-grams it has of each, so n-grams themselves are never sorted.
+    """
+    masses = counted.groupBy("language", "n").agg((F.count("*") * F.col("n")).alias("mass"))
+    whole = W.partitionBy("language")
+    before = F.sum("mass").over(whole.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1))
+    masses = masses.select("language", "n", F.coalesce(before, F.lit(0)).alias("before"), F.sum("mass").over(whole).alias("total"))
+    least = masses.where(F.col("before") < MASS * F.col("total")).groupBy(F.col("language").alias("of")).agg(
+        F.min("n").alias("least"), F.first("total").alias("total")
+    )
+    common = counted.join(settle(least, "least-frequencies"), F.col("language") == F.col("of"))
+    common = common.where("n >= least").withColumn("share", F.col("n") / F.col("total"))
     most = F.max("share").over(W.partitionBy("gram"))
     return common.withColumn("most", most).where(F.col("share") >= RELATIVE * F.col("most")).select("language", "gram")
 

@@ -334,6 +334,21 @@ def _user_layout(ask: Callable[[UserLayout, datetime], DataFrame]) -> Query:
 
 # --- streams ----------------------------------------------------------------
 
+# Of the events table, what becomes one file of messages: some twenty times as many bytes.
+_BYTES_A_FILE = 4 << 20
+
+
+def _files_a_batch(spark: SparkSession, sf_dir: str) -> int:
+    """How many files of messages make a batch, by the size of the events table: one if it is small."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(1, -(-size // _BYTES_A_FILE))
+
+
+def _dealt(rows: DataFrame, files: int) -> DataFrame:
+    """Rows to be written by as many tasks, each a file: dealt out in turn, so that none is empty."""
+    return rows.coalesce(1) if files == 1 else rows.repartition(files)
+
 def _ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "ingest")
     _messages(spark, sf_dir).write.text(f"{folder}/in")
@@ -412,12 +427,13 @@ def _rate_capped_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages delivered one to three times, later copies in later batches, are stored once."""
     folder = fresh_folder(spark, "dedup")
-    events = fixture_events(spark, sf_dir, whole_seconds=False)
+    files = _files_a_batch(spark, sf_dir)
+    events = fixture_events(spark, sf_dir, whole_seconds=False, merged=files > 1)
     for copy in range(3):
         again = events.where(F.length("event_type") % 3 >= copy)
-        encode(again).coalesce(1).write.mode("append").text(f"{folder}/in")
+        encode(_dealt(again, files)).write.mode("append").text(f"{folder}/in")
     start_ingest(
-        read_message_files(spark, f"{folder}/in", max_files_per_trigger=1), f"{folder}/table",
+        read_message_files(spark, f"{folder}/in", max_files_per_trigger=files), f"{folder}/table",
         f"{folder}/checkpoint", every=None, unique_within="10 minutes",
     ).awaitTermination()
     return _as_text(read_events(spark, f"{folder}/table"))
@@ -443,18 +459,20 @@ def _offset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of offsets lost and doubled: a partition per remainder of the id, some ids missing, some sent again."""
     folder = fresh_folder(spark, "offsets")
     events = fixture_events(spark, sf_dir, with_category=False)
-    sent = encode(events).select("value").withColumn("number", F.get_json_object("value", "$.event_id").cast("bigint"))
+    files = _files_a_batch(spark, sf_dir)
+    # The number from the row, not from the message, which would be written and parsed anew for each condition on it.
+    sent = events.withColumn("number", F.col("event_id").cast("bigint"))
     missing = (F.col("number") % 1000).between(400, 420) | (F.col("number") % 70 == 3)
     sent = sent.where(~missing)
     again = sent.where((F.col("number") % 1000).between(415, 460))
     for part in (sent.where("number % 2000 < 1200"), sent.where("number % 2000 >= 1200").unionByName(again)):
-        numbered = part.select(
+        numbered = encode(_dealt(part, files), ["number"]).select(
             "value", F.lit("events").alias("topic"), (F.col("number") % 3).cast("int").alias("partition"),
             F.floor(F.col("number") / 3).alias("offset"),
         )
-        numbered.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        numbered.write.mode("append").parquet(f"{folder}/in")
     messages = spark.readStream.schema("value STRING, topic STRING, partition INT, offset BIGINT").option(
-        "maxFilesPerTrigger", 1
+        "maxFilesPerTrigger", files
     ).parquet(f"{folder}/in")
     query = start_ingest(messages, f"{folder}/table", f"{folder}/checkpoint", every=None, offsets=f"{folder}/offsets")
     query.awaitTermination()
@@ -464,13 +482,14 @@ def _offset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _unique_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages delivered again and again, in one batch and in later ones, before and after a fold, are stored once."""
     folder = fresh_folder(spark, "unique")
-    events = fixture_events(spark, sf_dir, whole_seconds=False)
+    files = _files_a_batch(spark, sf_dir)
+    events = fixture_events(spark, sf_dir, whole_seconds=False, merged=files > 1)
     some = events.where(F.length("event_type") % 3 > 0)
     for parts in ((some.where("price < 60").unionByName(some.where("price < 20")), some), (events, some)):
         for part in parts:
-            encode(part).coalesce(1).write.mode("append").text(f"{folder}/in")
+            encode(_dealt(part, files)).write.mode("append").text(f"{folder}/in")
         start_ingest(
-            read_message_files(spark, f"{folder}/in", max_files_per_trigger=1), f"{folder}/table",
+            read_message_files(spark, f"{folder}/in", max_files_per_trigger=files), f"{folder}/table",
             f"{folder}/checkpoint", every=None, unique=True,
         ).awaitTermination()
         for month in read_table(spark, f"{folder}/table").select("event_month").distinct().collect():
@@ -496,14 +515,15 @@ def _live_counts(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 def _in_four_batches(spark: SparkSession, sf_dir: str, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> str:
     """Stream the fixture, eight days to a batch, some events a batch or more too late; restart halfway; the query's id."""
     events = fixture_events(spark, sf_dir, with_category=False, whole_seconds=False)
+    files = _files_a_batch(spark, sf_dir)
     number = F.col("event_id").cast("bigint")
     due = F.floor((F.dayofmonth("timestamp") - 1) / 8)
     batch = F.when(number % 53 == 0, 3).when(number % 11 == 0, F.least(due + 1, F.lit(3))).otherwise(due)
     query_id = ""
     for parts in ((0, 1), (2, 3)):
         for part in parts:
-            encode(events.where(batch == part)).coalesce(1).write.mode("append").text(f"{folder}/in")
-        query = start(normalize(decode(read_message_files(spark, f"{folder}/in", max_files_per_trigger=1))))
+            encode(_dealt(events.where(batch == part), files)).write.mode("append").text(f"{folder}/in")
+        query = start(normalize(decode(read_message_files(spark, f"{folder}/in", max_files_per_trigger=files))))
         query.awaitTermination()
         query_id = str(query.id)
     return query_id
@@ -526,7 +546,7 @@ def _journey_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often users came to each stage in order of time, idle ones starting anew after three days."""
     folder = fresh_folder(spark, "journeys")
     query_id = _in_four_batches(spark, sf_dir, folder, lambda events: journeys.start_running_funnel(
-        events, f"{folder}/out", f"{folder}/checkpoint", stages=JOURNEY_STAGES, delay="25 days", forget_hours=72, every=None, partitions=4,
+        events, f"{folder}/out", f"{folder}/checkpoint", stages=JOURNEY_STAGES, delay="25 days", forget_hours=72, every=None,
     ))
     first = _journey_totals(spark, folder, query_id)
     # One more batch with an event far ahead, before which all others can be put in order.
@@ -536,7 +556,7 @@ def _journey_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode(ahead).coalesce(1).write.mode("append").text(f"{folder}/in")
     journeys.start_running_funnel(
         normalize(decode(read_message_files(spark, f"{folder}/in", max_files_per_trigger=1))),
-        f"{folder}/out", f"{folder}/checkpoint", stages=JOURNEY_STAGES, delay="25 days", forget_hours=72, every=None, partitions=4,
+        f"{folder}/out", f"{folder}/checkpoint", stages=JOURNEY_STAGES, delay="25 days", forget_hours=72, every=None,
     ).awaitTermination()
     last = _journey_totals(spark, folder, query_id).withColumn("when", F.lit("at the end"))
     return last.unionByName(first.withColumn("when", F.lit("before")))

@@ -60,10 +60,11 @@ def fixture_events(
     reachable: Column | None = None,
     with_category: bool = True,
     whole_seconds: bool = True,
+    merged: bool = False,
 ) -> DataFrame:
     """The events table. ``reachable`` is a condition on the raw columns for the scan to use.
 
-    It must hold for every row the caller's operator keeps. For a window that
+    With ``merged`` the categories are never broadcast, however few. The condition must hold for every row the caller's operator keeps. For a window that
     is ``ts >= start``, as a truncated time is never later than the raw one.
     """
     raw = raw_events(spark, sf_dir)
@@ -72,4 +73,5 @@ def fixture_events(
     categories = None
     if with_category:
         categories = spark.read.schema(RAW_PARTS_DDL).parquet(f"{sf_dir}/part.parquet")
+        categories = categories.hint("merge") if merged else categories
     return bind_columns(raw, categories, whole_seconds)

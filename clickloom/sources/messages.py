@@ -63,8 +63,8 @@ def split_malformed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.where(is_valid()), events.where(~is_valid())
 
 
-def encode(events: DataFrame) -> DataFrame:
-    """Events as JSON messages in column ``value``, times as ISO text with UTC offset."""
+def encode(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Events as JSON messages in column ``value``, times as ISO text with UTC offset, and columns to ``keep`` before them."""
     fields = [F.col(name) for name in EVENT_COLUMNS if name != "timestamp"]
     time = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp")
-    return events.select(F.to_json(F.struct(*fields, time)).alias("value"))
+    return events.select(*keep, F.to_json(F.struct(*fields, time)).alias("value"))

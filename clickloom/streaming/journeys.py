@@ -1,7 +1,7 @@
 """A running funnel of users: how far each has come, in the order in which events happened.
 
 A user reaches a stage with the first event of its kind at or after reaching
-the stage before. Events wait in the user's state until the watermark has
+the stage before. Events wait in the state until the watermark has
 passed them, and are then worked off in order of time, however they arrived.
 Only advances leave the state, and running totals are changed by these alone.
 A user idle for long enough is forgotten and starts anew, which bounds the
@@ -11,82 +11,84 @@ state to the users of that time.
 from __future__ import annotations
 
 import threading
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clickloom.streaming.pipeline import TRIGGER, with_trigger
-from clickloom.streaming.state import carry_record, file_batch, keyed_state_store, latest_record, read_filed
+from clickloom.streaming.state import carry_record, file_batch, keyed_state_store, latest_record, planned_adaptively, read_filed
 from clickloom.vocabulary import STAGES
 
 ADVANCES_DDL = "user_id STRING, stage INT, at TIMESTAMP"
 TOTALS_DDL = "stage INT, reached BIGINT"
+# Of a group: its users, the stages each has reached, the time of each one's last event, and as bytes of 64-bit
+# numbers the events not yet in order, each a user's place, a time and a stage.
+_STATE_DDL = "users ARRAY<STRING>, reached ARRAY<INT>, last ARRAY<BIGINT>, waiting BINARY"
+# Users are dealt to so many groups, whose state is one row each.
+GROUPS = 2048
 
 
-class _Journey(StatefulProcessor):
-    """One user's events that are not yet in order, the stages reached and the time of the last event."""
-
-    def __init__(self, forget_ms: int):
-        self._forget = forget_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._waiting = handle.getListState("waiting", "at BIGINT, stage INT")
-        self._progress = handle.getValueState("progress", "reached INT, last BIGINT, timer BIGINT")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = sorted({(int(at), int(stage)) for part in rows for at, stage in zip(part["ms"], part["stage"]) if stage >= 0})
-        if not new:
-            return iter([])
-        self._waiting.appendList(new)
-        reached, last, timer = self._progress.get() or (0, None, None)
-        self._keep(reached, last, timer, new[0][0], timerValues.getCurrentWatermarkInMs())
-        return iter([])
-
-    def _keep(self, reached: int, last: int | None, timer: int | None, due: int, passed: int) -> None:
-        """Store the progress, and have the user looked at when the watermark passes a time, or earlier."""
-        # Timers may go off just at or just after their time: set early once, and again if that was too early.
-        due -= due - 1 > passed
-        if timer is None or due < timer:
-            self._handle.registerTimer(due)
-            self._progress.update((reached, last, due))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        events = sorted(tuple(e) for e in self._waiting.get())
-        due, rest = [e for e in events if e[0] <= passed], [e for e in events if e[0] > passed]
-        reached, last, timer = self._progress.get() or (0, None, None)
-        if timer is not None and timer > expiredTimerInfo.getExpiryTimeInMs():
-            # One of an earlier plan; the one that counts is yet to come.
+def _journeys(forget_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Works off the events of some users that the watermark has passed, and keeps the others with the stages reached.
+
+    The state of these users is one row, read and written once a batch: what a
+    call for each user costs would be far more than the work on the user's events.
+    """
+
+    # Defined in here so that it is sent to the executors as a whole, and they
+    # need not have this package installed.
+    def follow(_, parts, state):
+        passed = state.getCurrentWatermarkMs()
+        users, progress, waiting = [], {}, []
+        if state.exists:
+            names, reached, last, packed = state.get
+            users = list(names)
+            progress = dict(enumerate(zip(reached, last)))
+            waiting.append(np.frombuffer(packed, "int64").reshape(-1, 3))
+        number = {user: i for i, user in enumerate(users)}
+        for part in () if state.hasTimedOut else parts:
+            part = part[part["stage"] >= 0]
+            owners = [number.setdefault(user, len(number)) for user in part["user_id"].tolist()]
+            waiting.append(np.column_stack([owners, part["ms"], part["stage"]]).astype("int64").reshape(-1, 3))
+        users = list(number)
+        if not users:
             return
+        events = np.concatenate(waiting)
+        events = events[np.lexsort((events[:, 2], events[:, 1], events[:, 0]))]
+        due = events[:, 1] <= passed
         advances = []
-        for at, stage in due:
-            if last is not None and at - last > self._forget:
+        for i, ms, stage in events[due].tolist():
+            reached, last = progress.get(i, (0, None))
+            if last is not None and ms - last > forget_ms:
                 reached = 0
             if stage == reached:
                 reached += 1
-                advances.append((key[0], stage, pd.Timestamp(at, unit="ms")))
-            last = at
-        if due:
-            self._waiting.clear()
-            if rest:
-                self._waiting.appendList(rest)
-        idle = last is None or last + self._forget < passed
-        if rest:
-            self._keep(reached, last, None, rest[0][0], passed)
-        elif idle:
-            self._progress.clear()
-        else:
-            self._keep(reached, last, None, last + self._forget + 1, passed)
+                advances.append((users[i], stage, pd.Timestamp(ms, unit="ms")))
+            progress[i] = reached, ms
+        rest = events[~due]
+        # When each user is to be looked at again: at the first event that waits, or when idle for long enough.
+        idle = {i: last + forget_ms for i, (_, last) in progress.items() if last is not None}
+        look = {i: at for i, at in idle.items() if at >= passed}
+        owners, first = np.unique(rest[:, 0], return_index=True)
+        look |= zip(owners.tolist(), (rest[first, 1] - 1).tolist())
+        if look:
+            kept = sorted(look)
+            rest = np.column_stack([np.searchsorted(kept, rest[:, 0]), rest[:, 1:]])
+            reached, last = zip(*(progress.get(i, (0, None)) for i in kept))
+            state.update(([users[i] for i in kept], list(reached), list(last), rest.astype("int64").tobytes()))
+            state.setTimeoutTimestamp(max(1, min(look.values())))
+        elif state.exists:
+            state.remove()
         if advances:
             yield pd.DataFrame(advances, columns=["user_id", "stage", "at"])
 
-    def close(self) -> None:
-        pass
+    return follow
 
 
 def start_running_funnel(
@@ -109,13 +111,14 @@ def start_running_funnel(
         # Kept, as state must be worked through once.
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            file_batch(batch, f"{path}/advances", ingest["id"], batch_id)
-            more = batch.groupBy("stage").agg(F.count("*").alias("reached"))
+            with planned_adaptively(batch, events):
+                file_batch(batch, f"{path}/advances", ingest["id"], batch_id)
+                more = batch.groupBy("stage").agg(F.count("*").alias("reached"))
 
-            def add(totals: DataFrame) -> DataFrame:
-                return totals.unionByName(more).groupBy("stage").agg(F.sum("reached").alias("reached"))
+                def add(totals: DataFrame) -> DataFrame:
+                    return totals.unionByName(more).groupBy("stage").agg(F.sum("reached").alias("reached"))
 
-            carry_record(batch.sparkSession, f"{path}/totals", TOTALS_DDL, ingest["id"], batch_id, add)
+                carry_record(batch.sparkSession, f"{path}/totals", TOTALS_DDL, ingest["id"], batch_id, add)
         finally:
             batch.unpersist()
 
@@ -127,10 +130,11 @@ def start_running_funnel(
         .select(
             "user_id", "timestamp", F.unix_millis("timestamp").alias("ms"),
             F.coalesce(stage, F.lit(-1)).cast("int").alias("stage"),
+            F.pmod(F.xxhash64("user_id"), F.lit(GROUPS)).alias("group"),
         )
     )
-    advances = steps.groupBy("user_id").transformWithStateInPandas(
-        _Journey(forget_hours * 3_600_000), ADVANCES_DDL, "Append", "EventTime"
+    advances = steps.groupBy("group").applyInPandasWithState(
+        _journeys(forget_hours * 3_600_000), ADVANCES_DDL, _STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout
     )
     writer = advances.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     with keyed_state_store(spark, partitions):

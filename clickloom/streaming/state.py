@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _PARTITIONS = "spark.sql.shuffle.partitions"
+_ADAPTIVE = "spark.sql.adaptive.enabled"
+_EXCLUDED = "spark.sql.adaptive.optimizer.excludedRules"
+_EMPTY_RULE = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Batches whose record is kept: the one before the running one, and one to spare.
 _RECORDS = 3
@@ -39,6 +42,28 @@ def keyed_state_store(spark: SparkSession, partitions: int | None = None) -> Ite
                 spark.conf.set(key, value)
 
 
+@contextmanager
+def planned_adaptively(batch: DataFrame, events: DataFrame) -> Iterator[None]:
+    """What is meanwhile done with a micro-batch of a stream is planned adaptively if the stream's session wants that.
+
+    Spark switches it off in the session of a query with state, for the state's
+    sake; the batch has been planned by then. Without it, rebalancing is left out,
+    and each partition of the state is written whole by one task.
+    """
+    conf = batch.sparkSession.conf
+    # An empty batch must not be planned away: its rows are counted on their way.
+    excluded = ",".join(filter(None, (conf.get(_EXCLUDED, None), _EMPTY_RULE)))
+    wanted = {_ADAPTIVE: events.sparkSession.conf.get(_ADAPTIVE), _EXCLUDED: excluded}
+    before = {key: conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
 def file_batch(rows: DataFrame, folder: str, query_id: str, batch_id: int) -> None:
     """File rows under their query and batch; a batch that is run again replaces its own."""
     (

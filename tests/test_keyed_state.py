@@ -132,3 +132,14 @@ def test_state_store_setting_comes_back(spark):
     with keyed_state_store(spark):
         assert "RocksDB" in spark.conf.get(_PROVIDER)
     assert spark.conf.get(_PROVIDER, None) == before
+
+
+def test_users_share_rows_of_state(spark):
+    """However many users there are, state is read and written once for each group of them, and in all the session's tasks."""
+    folder = fresh_folder(spark, "t")
+    write(spark, folder, [("view", f"u{i}", BEGIN + timedelta(seconds=i)) for i in range(6000)])
+    stream = normalize(decode(read_message_files(spark, f"{folder}/in", max_files_per_trigger=1)))
+    query = journeys.start_running_funnel(stream, f"{folder}/out", f"{folder}/checkpoint", delay="9 hours", every=None)
+    query.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert 0 < max(kept) <= journeys.GROUPS < 6000

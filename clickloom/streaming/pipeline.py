@@ -18,6 +18,7 @@ from clickloom.sources.rollup import roll_up
 from clickloom.sources.table import add_partitions, create_events_table, define_events_table, write_events
 from clickloom.streaming.dedup import suppress_duplicates
 from clickloom.streaming.offsets import file_ranges
+from clickloom.streaming.state import planned_adaptively
 
 log = logging.getLogger(__name__)
 
@@ -86,9 +87,13 @@ def start_table_sink(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         started.wait()
-        if quarantine is None and rollup is None and offsets is None and not unique:
-            store(batch, batch_id)
-            return
+        with planned_adaptively(batch, events):
+            if quarantine is None and rollup is None and offsets is None and not unique:
+                store(batch, batch_id)
+            else:
+                write_kept(batch, batch_id)
+
+    def write_kept(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             events = batch

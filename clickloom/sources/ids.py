@@ -69,18 +69,23 @@ def read_filters(spark: SparkSession, folder: str) -> DataFrame:
     return filters.where(~superseded(folds))
 
 
-def write_filter(stored: DataFrame, folder: str, ingest_id: str, batch_id: int = 0) -> None:
-    """File the filters of one batch's stored rows, (event_id, event_month), one per month."""
-    ids = stored.where(has_id()).select("event_id", "event_month")
+def _filters(ids: DataFrame) -> DataFrame:
+    """(event_month, blocks, block, bitmap) of ids and their months."""
     sizes = ids.groupBy("event_month").agg(F.count("*").alias("n"))
     # A power of two, so that ids are placed for few different sizes when they ask.
     needed = F.greatest(F.ceil(F.col("n") * BITS_PER_ID / BLOCK_BITS), F.lit(1))
     sizes = sizes.select("event_month", F.pow(F.lit(2), F.ceil(F.log2(needed))).cast("bigint").alias("blocks"))
-    placed = ids.join(sizes, "event_month").select(
-        "event_month", "blocks", _block(F.col("blocks")).alias("block"),
-        F.explode(F.array(*[_bit(i) for i in range(HASHES)])).alias("bit"),
+    # Shuffled as ids, before there are bitmaps: each task would have its own of nearly every block.
+    blocked = ids.join(sizes, "event_month").withColumn("block", _block(F.col("blocks")))
+    placed = blocked.repartition("event_month", "blocks", "block").select(
+        "event_month", "blocks", "block", F.explode(F.array(*[_bit(i) for i in range(HASHES)])).alias("bit"),
     )
-    filters = placed.groupBy("event_month", "blocks", "block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    return placed.groupBy("event_month", "blocks", "block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def write_filter(stored: DataFrame, folder: str, ingest_id: str, batch_id: int = 0) -> None:
+    """File the filters of one batch's stored rows, (event_id, event_month), one per month."""
+    filters = _filters(stored.where(has_id()).select("event_id", "event_month"))
     (
         filters.withColumns({"ingest_id": F.lit(ingest_id), "batch_id": F.lit(batch_id).cast("bigint")})
         .hint("rebalance", "event_month")

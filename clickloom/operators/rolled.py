@@ -68,7 +68,7 @@ class Stitched:
     def users(self) -> DataFrame:
         """(bucket, bitmap): the codes of all users of the window."""
         seen = self.edges().where("user_id IS NOT NULL").select("user_id").distinct()
-        coded = seen.join(read_codes(self._spark, self._rollup).select("user_id", "code"), "user_id")
+        coded = seen.join(read_codes(self._spark, self._rollup).select("user_id", "code").hint("merge"), "user_id")
         whole = self._whole(read_users(self._spark, self._rollup)).select("bucket", "bitmap")
         return merged_users(whole.unionByName(bitmaps(coded)))
 

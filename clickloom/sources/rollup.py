@@ -122,7 +122,8 @@ def _give_codes(events: DataFrame, rollup: str, ingest_id: str, batch_id: int) -
     """Number the users that have no code yet; codes are only ever added, so a batch run again changes none."""
     known = read_codes(events.sparkSession, rollup)
     users = events.where("user_id IS NOT NULL").select("user_id").distinct()
-    new = users.join(known.select("user_id"), "user_id", "left_anti")
+    # Merged, here and wherever codes are joined: there are as many as users, too many to pass through the driver.
+    new = users.join(known.select("user_id").hint("merge"), "user_id", "left_anti")
     last = known.agg(F.max("code")).first()[0] or 0
     with scratch_folder(events.sparkSession, "codes") as scratch:
         codes = _filed(_numbered(new, last + 1, scratch), ingest_id, batch_id)
@@ -140,7 +141,7 @@ def roll_up(events: DataFrame, rollup: str, ingest_id: str, batch_id: int = 0) -
     spark = events.sparkSession
     _give_codes(events, rollup, ingest_id, batch_id)
     seen = events.where("user_id IS NOT NULL").select(hour_of("timestamp").alias("hour"), "user_id").distinct()
-    users = bitmaps(seen.join(read_codes(spark, rollup).select("user_id", "code"), "user_id"), "hour")
+    users = bitmaps(seen.join(read_codes(spark, rollup).select("user_id", "code").hint("merge"), "user_id"), "hour")
     for part, rows in (("users", users), ("hours", hour_sums(events))):
         month = rows.withColumn("event_month", month_key(F.col("hour")))
         _file(_filed(month, ingest_id, batch_id), f"{rollup}/{part}")
